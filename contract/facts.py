@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.schemas import table_columns
+from panelwright.schemas import TABLES, table_columns
+from panelwright.session import settle
 from panelwright.sources.warehouse import Warehouse
 
 CATEGORIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -30,8 +31,13 @@ SCHEMAS = {
 
 
 class OrderFacts(Warehouse):
-    """Lazy derivations. Orders are combined per customer before they meet the customers,
-    so a customer with very many orders is a handful of rows by then."""
+    """Lazy derivations.
+
+    Orders meet customers in one join; the planner broadcasts the customers while they are
+    small and merges sorted partitions when not, where adaptive execution splits the partition
+    of a customer with very many orders. Everything after the join is combined in the same
+    stage, so only one row per nation, quarter and breakdown leaves a task.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
@@ -39,6 +45,7 @@ class OrderFacts(Warehouse):
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
     def _orders(self) -> DataFrame:
         return self.table("orders").select(
             "o_orderkey", "o_custkey", F.col("o_orderpriority").alias("category"),
@@ -46,6 +53,7 @@ class OrderFacts(Warehouse):
             F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
         )
 
+    @cached_property
     def _customers(self) -> DataFrame:
         nations = self.table("nation").select("n_nationkey", F.col("n_name").alias("state"))
         return (
@@ -57,35 +65,26 @@ class OrderFacts(Warehouse):
             )
         )
 
-    def _sales(self, *by: str) -> DataFrame:
-        """Count and amount per customer, quarter and further columns, with the customer's place."""
-        per_customer = self._orders().groupBy("o_custkey", "year", "quarter", *by).agg(
-            F.count("*").alias("n"), F.sum("amount").alias("amount")
-        )
-        return per_customer.join(self._customers(), "o_custkey")
+    @cached_property
+    def _sales(self) -> DataFrame:
+        return self._orders.join(self._customers, "o_custkey")
 
     @staticmethod
     def _totals() -> list[Column]:
-        return [
-            F.sum("n").alias("txn_count"),
-            F.sum("amount").alias("amount"),
-        ]
-
-    @staticmethod
-    def _as_double(df: DataFrame) -> DataFrame:
-        return df.withColumn("txn_amount", F.col("amount").cast("double"))
+        """Amounts are summed as decimals, so the double does not depend on the order."""
+        return [F.count("*").alias("txn_count"), F.sum("amount").cast("double").alias("txn_amount")]
 
     @cached_property
     def agg_transaction(self) -> DataFrame:
         """State rows, and country rows rolled up from the already aggregated state rows."""
         grain = ["state", "year", "quarter", "category"]
-        cells = self._sales("category").groupBy(*grain).agg(*self._totals())
+        cells = self._sales.groupBy(*grain).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
         both = cells.groupingSets([grain, grain[1:]], *grain).agg(
             F.grouping("state").alias("is_total"),
-            F.sum("txn_count").alias("txn_count"), F.sum("amount").alias("amount"),
+            F.sum("n").alias("txn_count"), F.sum("amount").cast("double").alias("txn_amount"),
         )
         total = F.col("is_total") == 1
-        return self._as_double(both).select(
+        return both.select(
             F.when(total, F.lit("country")).otherwise(F.lit("state")).alias("level"),
             F.when(total, F.lit(NATION)).otherwise(F.col("state")).alias("geo"),
             "year", "quarter", "category", "txn_count", "txn_amount",
@@ -93,23 +92,24 @@ class OrderFacts(Warehouse):
 
     @cached_property
     def agg_user(self) -> DataFrame:
-        """Users = customers seen so far; opens = order lines of the quarter."""
+        """Users = customers seen so far; opens = order lines of the quarter.
+
+        Lines are counted per order before the join, which folds a very long order map-side.
+        """
         key = F.col("year") * 10 + F.col("quarter")
-        first = self._orders().groupBy("o_custkey").agg(F.min(key).alias("key"))
         new = (
-            first.join(self._customers(), "o_custkey")
+            self._orders.groupBy("o_custkey").agg(F.min(key).alias("key"))
+            .join(self._customers, "o_custkey")
             .groupBy("state", "key").agg(F.count("*").alias("new"))
         )
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             F.count("*").alias("lines")
         )
         opened = (
-            self._orders().join(lines, "o_orderkey")
-            .groupBy("o_custkey", "year", "quarter").agg(F.sum("lines").alias("lines"))
-            .join(self._customers(), "o_custkey")
+            self._orders.join(lines, "o_orderkey").join(self._customers, "o_custkey")
             .groupBy("state", key.alias("key")).agg(F.sum("lines").alias("opens"))
         )
-        quarters = self._orders().agg(F.collect_set(F.struct("year", "quarter"))).scalar()
+        quarters = self._orders.agg(F.collect_set(F.struct("year", "quarter"))).scalar()
         grid = (
             new.select("state").distinct().withColumn("q", quarters)
             .select("state", F.inline("q")).withColumn("key", key)
@@ -128,40 +128,38 @@ class OrderFacts(Warehouse):
 
     @cached_property
     def map_transaction(self) -> DataFrame:
-        cells = self._sales().groupBy("state", "district", "year", "quarter").agg(*self._totals())
-        return self._as_double(cells).select(*table_columns("map_transaction"))
+        cells = self._sales.groupBy("state", "district", "year", "quarter").agg(*self._totals())
+        return cells.select(*table_columns("map_transaction"))
 
     @cached_property
     def map_user(self) -> DataFrame:
-        """Sales are one row per customer and quarter, so counting rows counts customers."""
-        return self._sales().groupBy("state", "district", "year", "quarter").agg(
-            F.count("*").alias("registered_users"), F.sum("n").alias("app_opens")
-        ).select(
-            "state", F.concat("district", F.lit(" district")).alias("district"), "year", "quarter",
-            "registered_users", "app_opens",
-        )
+        """The distinct count shuffles (place, quarter, customer), which no single place can clog."""
+        return self._sales.groupBy("state", "district", "year", "quarter").agg(
+            F.count_distinct("o_custkey").alias("registered_users"), F.count("*").alias("app_opens")
+        ).withColumn("district", F.concat("district", F.lit(" district")))
 
     @cached_property
     def top_transaction(self) -> DataFrame:
         """The ten largest entities per parent, kind and quarter.
 
-        The rank filter lets Spark cut each task to ten candidates before the shuffle.
+        One pass over the sales computes all three kinds. The rank filter lets Spark cut each
+        task to ten candidates per ranking before the shuffle.
         """
-        sales = self._sales()
-
-        def ranked(level: str, parent: Column, kind: str, entity: str) -> DataFrame:
-            keys = [entity] if entity == "state" else ["state", entity]
-            cells = sales.groupBy(*keys, "year", "quarter").agg(*self._totals())
-            return self._as_double(cells).select(
-                F.lit(level).alias("parent_level"), parent.alias("parent_geo"),
-                F.lit(kind).alias("entity_type"), F.col(entity).alias("entity_name"),
-                "year", "quarter", "txn_count", "txn_amount",
-            )
-
-        entities = (
-            ranked("country", F.lit(NATION), "state", "state")
-            .unionByName(ranked("state", F.col("state"), "district", "district"))
-            .unionByName(ranked("state", F.col("state"), "pincode", "name"))
+        time = ["year", "quarter"]
+        cells = self._sales.groupingSets(
+            [["state", *time], ["state", "district", *time], ["state", "name", *time]],
+            "state", "district", "name", *time,
+        ).agg(F.grouping("district").alias("no_district"), F.grouping("name").alias("no_name"), *self._totals())
+        is_district, is_name = F.col("no_district") == 0, F.col("no_name") == 0
+        is_state = ~is_district & ~is_name
+        entities = cells.select(
+            F.when(is_state, F.lit("country")).otherwise(F.lit("state")).alias("parent_level"),
+            F.when(is_state, F.lit(NATION)).otherwise(F.col("state")).alias("parent_geo"),
+            F.when(is_state, F.lit("state")).when(is_district, F.lit("district")).otherwise(F.lit("pincode"))
+            .alias("entity_type"),
+            F.when(is_state, F.col("state")).when(is_district, F.col("district")).otherwise(F.col("name"))
+            .alias("entity_name"),
+            "year", "quarter", "txn_count", "txn_amount",
         )
         best = Window.partitionBy("parent_level", "parent_geo", "entity_type", "year", "quarter").orderBy(
             F.desc("txn_amount"), "entity_name"
@@ -169,3 +167,21 @@ class OrderFacts(Warehouse):
         return (
             entities.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 10).drop("place")
         )
+
+
+class StoredFacts(Warehouse):
+    """The same tables, each computed once when first asked for.
+
+    The analytics expect stored tables, and some read one several times (say, to find the newest
+    quarter). Settled tables keep that from repeating the scan of the orders.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._facts, self._held = OrderFacts(spark, sf_dir), {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._held:
+            self._held[name] = settle(getattr(self._facts, name))
+        return self._held[name]

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contract import landing
-from contract.facts import CATEGORIES, OrderFacts
-from panelwright.functions import parity_round
+from contract.facts import CATEGORIES, OrderFacts, StoredFacts
 from panelwright.operators import (
     backtest, features, forecast, growth, intervals, kpis, metrics, outliers, panels, quality, ridge,
     segments, signals,
@@ -41,14 +40,23 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def from_warehouse(name: str, build: Callable[[Warehouse], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(OrderFacts(spark, sf_dir))
+def from_warehouse(name: str, build: Callable[[Warehouse], DataFrame], stored: bool = False) -> None:
+    """Register a query; ``stored`` for those that read a fact table more than once."""
+    facts = StoredFacts if stored else OrderFacts
+    QUERIES[name] = lambda spark, sf_dir: build(facts(spark, sf_dir))
 
 
 def rounded(df: DataFrame, digits: int = 2, **special: int) -> DataFrame:
     """Round the double columns; ``special`` names columns with other digits."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: parity_round(F.col(c), special.get(c, digits)) for c in doubles})
+    return df.withColumns({c: F.expr(_round_text(f"`{c}`", special.get(c, digits))) for c in doubles})
+
+
+def _round_text(x: str, digits: int) -> str:
+    """``parity_round`` as text: one call per column for frames with many columns."""
+    size = f"abs({x}) * {float(10**digits)}D"
+    half_up = f"signum({x}) * floor({size} + 0.5D) / {float(10**digits)}D"
+    return f"CASE WHEN {size} < {float(2**52)}D THEN {half_up} ELSE {x} END"
 
 
 # -- fact tables and KPIs --------------------------------------------------------
@@ -61,16 +69,16 @@ from_warehouse("load_counts", load_counts)
 
 from_warehouse("kpi_national_trend", lambda w: kpis.national_trend(w.agg_transaction))
 from_warehouse("kpi_avg_ticket", lambda w: kpis.avg_ticket(w.agg_transaction))
-from_warehouse("kpi_category_mix", lambda w: kpis.category_mix(w.agg_transaction))
-from_warehouse("kpi_top_states", lambda w: kpis.top_states(w.state_txn_quarter))
-from_warehouse("kpi_txns_per_user", lambda w: kpis.txns_per_user(w.state_txn_quarter, w.state_user_quarter))
+from_warehouse("kpi_category_mix", lambda w: kpis.category_mix(w.agg_transaction), stored=True)
+from_warehouse("kpi_top_states", lambda w: kpis.top_states(w.state_txn_quarter), stored=True)
+from_warehouse("kpi_txns_per_user", lambda w: kpis.txns_per_user(w.state_txn_quarter, w.state_user_quarter), stored=True)
 from_warehouse("growth_qoq", lambda w: growth.qoq(w.state_txn_quarter))
 from_warehouse("growth_leaders", lambda w: growth.leaders(w.state_txn_quarter))
 from_warehouse("growth_leaders_service", lambda w: service.growth_leaders(w))
 from_warehouse("growth_yoy", lambda w: growth.yoy(w.state_txn_quarter))
-from_warehouse("category_outperformance", lambda w: growth.category_outperformance(w.agg_transaction))
-from_warehouse("category_hhi", lambda w: growth.category_hhi(w.agg_transaction))
-from_warehouse("expansion_signals", service.expansion_signals)
+from_warehouse("category_outperformance", lambda w: growth.category_outperformance(w.agg_transaction), stored=True)
+from_warehouse("category_hhi", lambda w: growth.category_hhi(w.agg_transaction), stored=True)
+from_warehouse("expansion_signals", service.expansion_signals, stored=True)
 from_warehouse("anomaly_robust_z", lambda w: outliers.robust_z(w.state_txn_quarter))
 from_warehouse("anomaly_ticket_iqr", lambda w: outliers.ticket_iqr(w.state_txn_quarter))
 # order values are smaller than the default floor of the report
@@ -86,9 +94,9 @@ from_warehouse("category_mix_at", lambda w: rounded(service.category_mix(w, PERI
 from_warehouse("top_states_at", lambda w: rounded(service.top_states(w, 10, PERIOD)))
 from_warehouse("state_history", lambda w: rounded(service.state_history(w, STATE)))
 from_warehouse("states", service.states)
-from_warehouse("state_map_metrics", lambda w: rounded(service.state_map_metrics(w), yoy_pct=1))
-from_warehouse("kpi_tiles", lambda w: kpis.quarter_tiles(w.agg_transaction))
-from_warehouse("quarter_snapshot", lambda w: kpis.quarter_tiles(w.agg_transaction, PERIOD))
+from_warehouse("state_map_metrics", lambda w: rounded(service.state_map_metrics(w), yoy_pct=1), stored=True)
+from_warehouse("kpi_tiles", lambda w: kpis.quarter_tiles(w.agg_transaction), stored=True)
+from_warehouse("quarter_snapshot", lambda w: kpis.quarter_tiles(w.agg_transaction, PERIOD), stored=True)
 
 
 @query
@@ -100,7 +108,7 @@ def map_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("n_name").alias("state"), F.col("r_name").alias("display_name"))
     slug = F.concat(F.replace(F.lower("display_name"), F.lit(" "), F.lit("-")), F.lit("-islands"))
     by_region = (
-        service.state_map_metrics(facts).join(nations, "state")
+        service.state_map_metrics(StoredFacts(spark, sf_dir)).join(nations, "state")
         .groupBy(slug.alias("state")).agg(F.sum("txn_amount").alias("txn_amount"), F.max("yoy_pct").alias("yoy_pct"))
     )
     names = nations.select("display_name").distinct()
@@ -109,10 +117,10 @@ def map_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- quality ---------------------------------------------------------------------
 
-from_warehouse("dq_report", lambda w: rounded(quality.run_checks(w), 9))
-from_warehouse("dq_summary", lambda w: quality.summary(quality.run_checks(w)))
-from_warehouse("dq_panel_gaps", lambda w: quality.panel_gaps(w.state_txn_quarter))
-from_warehouse("dq_missing_cells", lambda w: quality.missing_cells(w.state_txn_quarter))
+from_warehouse("dq_report", lambda w: rounded(quality.run_checks(w), 9), stored=True)
+from_warehouse("dq_summary", lambda w: quality.summary(quality.run_checks(w)), stored=True)
+from_warehouse("dq_panel_gaps", lambda w: quality.panel_gaps(w.state_txn_quarter), stored=True)
+from_warehouse("dq_missing_cells", lambda w: quality.missing_cells(w.state_txn_quarter), stored=True)
 
 # -- panels, features, forecasts ---------------------------------------------------
 
@@ -139,9 +147,9 @@ def _features(df: DataFrame) -> DataFrame:
 from_warehouse("panel_state", lambda w: _panel(panel_of(w)))
 from_warehouse("panel_category", lambda w: _panel(panels.category_panel(w, CATEGORIES)))
 from_warehouse("panel_district", lambda w: _panel(panels.district_panel(w, categories=CATEGORIES)))
-from_warehouse("panel_grid", lambda w: _panel(panels.full_grid(panel_of(w))))
+from_warehouse("panel_grid", lambda w: _panel(panels.full_grid(settle(panel_of(w)))))
 from_warehouse("features", lambda w: _features(features_of(w)))
-from_warehouse("forecast_frame", lambda w: _features(features.forecast_frame(panel_of(w), CATEGORIES)))
+from_warehouse("forecast_frame", lambda w: _features(features.forecast_frame(settle(panel_of(w)), CATEGORIES)))
 from_warehouse("baseline_predictions", lambda w: rounded(backtest.baseline_predictions(features_of(w))))
 from_warehouse("interval_quantiles", lambda w: rounded(intervals.residual_log_quantiles(settle(features_of(w))), 9))
 from_warehouse("interval_coverage", lambda w: rounded(intervals.coverage(settle(features_of(w))), 9))
@@ -202,7 +210,7 @@ from_warehouse("hardest_easiest", lambda w: reports.hardest_easiest(baseline_bac
 @query
 def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge alone: fitted on all history, applied to the coming quarter."""
-    rows = settle(features.features_and_next(panel_of(OrderFacts(spark, sf_dir)), CATEGORIES))
+    rows = settle(features.features_and_next(settle(panel_of(OrderFacts(spark, sf_dir))), CATEGORIES))
     model = ridge.Ridge(CATEGORIES).fit(rows.filter(~F.col("is_next")))
     return model.predict(rows.filter("is_next")).select("state", "period_key", "y_pred")
 
@@ -215,7 +223,7 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = settle(features.features_and_next(panel_of(OrderFacts(spark, sf_dir)), CATEGORIES))
+    rows = settle(features.features_and_next(settle(panel_of(OrderFacts(spark, sf_dir))), CATEGORIES))
     model = Boosting(CATEGORIES, rounds=BOOSTING_ROUNDS).fit(rows.filter(~F.col("is_next")))
     return model.predict(rows.filter("is_next")).select("state", "period_key", "y_pred")
 

@@ -25,10 +25,10 @@ def next_quarter(
 ) -> DataFrame:
     """One row per entity: champion, ridge, bounds, last actual and growth.
 
-    The features of history and of the coming quarter come from one pass, which is settled
-    because quantiles, ridge sums and the result all read it. No history, no forecast.
+    The panel is settled, as adding the coming quarter reads it three times; so are the
+    features, which quantiles, ridge sums and the result all read. No history, no forecast.
     """
-    rows = settle(features_and_next(panel, categories))
+    rows = settle(features_and_next(settle(panel), categories))
     train, ahead = rows.filter(~F.col("is_next")), rows.filter("is_next")
     ahead = ahead.filter(train.limit(1).agg(F.count("*")).scalar() > 0)
     names = list(FORECAST)

@@ -77,12 +77,19 @@ def standardised(profiles: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
 
 
-def best_kmeans(points: DataFrame, k: int, seed: int = 42, starts: int = STARTS) -> KMeansModel:
-    """Of several starts the fit with the lowest cost."""
-    fits = [
-        KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(points) for i in range(starts)
-    ]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def best_kmeans(
+    points: DataFrame, ks: Sequence[int], seed: int = 42, starts: int = STARTS, parallelism: int = 8
+) -> dict[int, KMeansModel]:
+    """For every k the cheapest of several starts; fits run side by side."""
+    def fit(job: tuple[int, int]) -> KMeansModel:
+        return KMeans(k=job[0], seed=seed + job[1], maxIter=300, tol=1e-4).fit(points)
+
+    jobs = [(k, i) for k in ks for i in range(starts)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        fits = list(zip(jobs, pool.map(fit, jobs)))
+    return {
+        k: min((m for (own, _), m in fits if own == k), key=lambda m: m.summary.trainingCost) for k in ks
+    }
 
 
 def silhouette(labelled: DataFrame, n: int) -> tuple[float, str]:
@@ -128,6 +135,7 @@ class Choice:
     k: int
     scores: dict[int, float] = field(default_factory=dict)
     metric: str = "euclidean"
+    model: KMeansModel | None = None
 
 
 def choose_k(points: DataFrame, n: int, k_range: Sequence[int] = K_RANGE, seed: int = 42) -> Choice:
@@ -136,13 +144,12 @@ def choose_k(points: DataFrame, n: int, k_range: Sequence[int] = K_RANGE, seed:
     if not candidates:
         return Choice(min(2, n))
 
-    def rate(k: int) -> tuple[float, str]:
-        return silhouette(best_kmeans(points, k, seed).transform(points), n)
-
-    with ThreadPoolExecutor(4) as pool:
-        rated = list(pool.map(rate, candidates))
+    models = best_kmeans(points, candidates, seed)
+    with ThreadPoolExecutor(len(candidates)) as pool:
+        rated = list(pool.map(lambda k: silhouette(models[k].transform(points), n), candidates))
     scores = {k: s for k, (s, _) in zip(candidates, rated)}
-    return Choice(max(scores, key=scores.get), scores, rated[0][1])
+    best = max(scores, key=scores.get)
+    return Choice(best, scores, rated[0][1], models[best])
 
 
 def choose_k_table(choice: Choice, spark) -> DataFrame:
@@ -182,8 +189,11 @@ def segment(
     points = standardised(profiles, columns).persist()
     try:
         choice = choose_k(points, n, seed=seed) if k is None else Choice(k)
-        found = best_kmeans(points, choice.k, seed).transform(points)
-        width = silhouette(found, n)[0] if 1 < choice.k < n else None
+        model = choice.model or best_kmeans(points, [choice.k], seed)[choice.k]
+        found = model.transform(points)
+        width = choice.scores.get(choice.k)
+        if width is None and 1 < choice.k < n:
+            width = silhouette(found, n)[0]
         labelled = settle(_stable_labels(found))
     finally:
         points.unpersist()
