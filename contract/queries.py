@@ -243,13 +243,13 @@ def backtest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- anomalies and segments ----------------------------------------------------------
 
-from_warehouse("behaviour_signals", lambda w: rounded(signals.behaviour_signals(features_of(w)), 9, txn_amount=2, avg_ticket=6))
+from_warehouse("behaviour_signals", lambda w: rounded(signals.behaviour_signals(features_of(w)), 9, txn_amount=2, avg_ticket=7))
 from_warehouse("anomaly_scores", lambda w: signals.detect(features_of(w)))
 from_warehouse("anomalies", lambda w: service.Insights(w, CATEGORIES).anomalies())
 from_warehouse("anomaly_report", lambda w: reports.anomaly_report(signals.detect(features_of(w))))
 from_warehouse(
     "state_profiles",
-    lambda w: rounded(segments.state_profiles(panel_of(w), categories=CATEGORIES), 9, avg_ticket=6),
+    lambda w: rounded(segments.state_profiles(panel_of(w), categories=CATEGORIES), 9, avg_ticket=7),
 )
 
 
@@ -270,7 +270,7 @@ from_warehouse("snapshot", lambda w: service.Insights(w, CATEGORIES).snapshot())
 
 def landed(spark: SparkSession, sf_dir: str, *kinds: str, broken: Column | None = None) -> str:
     """Write the facts as leaves below the shared folder; bodies of ``broken`` leaves are cut in half."""
-    bodies = landing.leaf_bodies(OrderFacts(spark, sf_dir), kinds or tuple(landing.KINDS))
+    bodies = landing.leaf_bodies(StoredFacts(spark, sf_dir), kinds or tuple(landing.KINDS))
     if broken is not None:
         half = F.left(F.col("body"), F.floor(F.length("body") / 2).cast("int"))
         bodies = bodies.withColumn("body", F.when(broken, half).otherwise(F.col("body")))
@@ -287,7 +287,7 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def classify_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of leaves the facts would land as, next to paths that are no leaves."""
-    paths = landing.leaf_bodies(OrderFacts(spark, sf_dir)).select("rel_path")
+    paths = settle(landing.leaf_bodies(StoredFacts(spark, sf_dir)).select("rel_path"))
     strange = F.array(
         F.col("rel_path"),
         F.replace(F.col("rel_path"), F.lit("/user/"), F.lit("/insurance/")),
@@ -299,7 +299,7 @@ def classify_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = landing.leaf_bodies(OrderFacts(spark, sf_dir)).select("rel_path")
+    paths = settle(landing.leaf_bodies(StoredFacts(spark, sf_dir)).select("rel_path"))
     return leaves.route_files(leaves.classify_paths(paths)).select("rel_path", leaves.target_table().alias("table_name"))
 
 
@@ -333,7 +333,7 @@ def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arrivals, odd quarters first, each followed by a refresh."""
-    w = OrderFacts(spark, sf_dir)
+    w = StoredFacts(spark, sf_dir)
     root, out, state = (scratch_path(spark, label) for label in ("landing", "tables", "progress"))
     bodies = settle(landing.leaf_bodies(w))
     odd = F.col("rel_path").rlike(r"/[13]\.json$")

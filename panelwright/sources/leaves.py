@@ -54,26 +54,23 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.contains(path, F.lit(f"{prefix}/data/")), rest)
 
 
+def is_leaf(rel: Column) -> Column:
+    """Whether a relative path is a leaf of a known dataset and entity."""
+    return F.coalesce(rel.rlike(f"^({'|'.join(DATASETS)})/({'|'.join(ENTITIES)})/.*{LEAF_PATTERN}"), F.lit(False))
+
+
 def classify(rel: Column) -> dict[str, Column]:
-    """Typed record of a leaf path; every field is null for a path that is no leaf."""
+    """Typed record of a leaf path, as columns to add."""
     parts = F.split(rel, "/")
-    dataset, entity = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    leaf = (
-        F.coalesce(rel.rlike(LEAF_PATTERN), F.lit(False))
-        & dataset.isin(*DATASETS)
-        & entity.isin(*ENTITIES)
-    )
     slug = F.regexp_extract(rel, STATE_PATTERN, 1)
-    is_state = slug != ""
-    fields = {
-        "dataset": dataset,
-        "entity": entity,
-        "level": F.when(is_state, F.lit("state")).otherwise(F.lit("country")),
-        "geo": F.when(is_state, slug).otherwise(F.lit(COUNTRY)),
+    return {
+        "dataset": F.get(parts, F.lit(0)),
+        "entity": F.get(parts, F.lit(1)),
+        "level": F.when(rel.rlike(STATE_PATTERN), F.lit("state")).otherwise(F.lit("country")),
+        "geo": F.when(rel.rlike(STATE_PATTERN), slug).otherwise(F.lit(COUNTRY)),
         "year": F.regexp_extract(rel, LEAF_PATTERN, 1).try_cast("int"),
         "quarter": F.regexp_extract(rel, LEAF_PATTERN, 2).try_cast("int"),
     }
-    return {name: F.when(leaf, col) for name, col in fields.items()}
 
 
 def is_routed() -> Column:
@@ -86,9 +83,9 @@ def is_routed() -> Column:
 
 
 def target_table() -> Column:
-    """Name of the table a routed leaf feeds; null for the others."""
+    """Name of the table a routed leaf feeds."""
     prefix = F.when(F.col("dataset") == "aggregated", F.lit("agg")).otherwise(F.col("dataset"))
-    return F.when(is_routed(), F.concat_ws("_", prefix, F.col("entity")))
+    return F.concat(prefix, F.lit("_"), F.col("entity"))
 
 
 def _in_scope(datasets: Sequence[str], min_year: int | None, max_year: int | None) -> Column:
@@ -104,8 +101,8 @@ def classify_paths(paths: DataFrame, column: str = "rel_path") -> DataFrame:
     """Classified records of a frame of relative paths; other paths drop out."""
     return (
         paths.select(F.col(column).alias("rel_path"))
+        .filter(is_leaf(F.col("rel_path")))
         .withColumns(classify(F.col("rel_path")))
-        .filter(F.col("dataset").isNotNull())
         .select("dataset", "entity", "level", "geo", "year", "quarter", "rel_path")
     )
 
@@ -147,6 +144,7 @@ def attach_records(raw: DataFrame, root: str) -> DataFrame:
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
         raw.withColumn("rel_path", relative_path(path, root))
+        .filter(is_leaf(F.col("rel_path")))
         .withColumns(classify(F.col("rel_path")))
         .filter(is_routed())
         .select("rel_path", "dataset", "entity", "level", "geo", "year", "quarter", F.col("value").alias("body"))
@@ -173,7 +171,10 @@ def _decoded(bodies: DataFrame, table: str) -> DataFrame:
     """Leaves of one table with the decoded body; malformed ones have a filled _corrupt field."""
     schema = f"{BODIES[table]}, {_CORRUPT} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return bodies.filter(target_table() == table).withColumn("j", F.from_json("body", schema, options))
+    prefix, entity = table.split("_")
+    dataset = "aggregated" if prefix == "agg" else prefix
+    own = bodies.filter((F.col("dataset") == dataset) & (F.col("entity") == entity))
+    return own.withColumn("j", F.from_json("body", schema, options))
 
 
 def _malformed() -> Column:
