@@ -109,6 +109,7 @@ def _grow(pdf: pd.DataFrame, seed: int, limit: int) -> pd.DataFrame:
             continue
         feature = int(rng.choice(usable))
         cut = rng.uniform(low[feature], high[feature])
+        cut = low[feature] if cut >= high[feature] else cut  # neighbouring doubles
         goes_left = part[:, feature] <= cut
         left, right = len(nodes), len(nodes) + 1
         nodes += [[], []]

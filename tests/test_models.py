@@ -195,7 +195,10 @@ def test_sql_style_analytics(spark):
     assert {r.yoy_value_pct for r in growth.yoy(s).collect()} == {26.2}
     hhi = growth.category_hhi(w.agg_transaction).first().hhi
     assert hhi == round((2**2 + 5**2 + 0.5**2) / 7.5**2, 3)
-    assert growth.expansion_signals(s, u).count() == 0
+    lag_use = s.withColumn("txn_count", F.when(F.col("state") == "westland", 1).otherwise(F.col("txn_count")))
+    lead = (F.col("state") == "westland") & (F.col("period_key") == 20223)
+    lead_growth = lag_use.withColumn("txn_amount", F.when(lead, F.col("txn_amount") * 2).otherwise(F.col("txn_amount")))
+    assert [r.state for r in growth.expansion_signals(lead_growth, u).collect()] == ["westland"]
     assert growth.category_outperformance(w.agg_transaction).filter("outperformance_pts != 0").count() == 0
     at = (F.col("state") == "westland") & (F.col("period_key") == 20213)
     jump = s.withColumn("txn_amount", F.when(at, F.col("txn_amount") * 10).otherwise(F.col("txn_amount")))

@@ -32,8 +32,6 @@ def test_clean_warehouse_passes(clean):
     assert "48 rows" in text and "balanced panel" in text and "state/national = 1.000" in text
 
 
-FIRST = (F.col("geo") == "northland") & (F.col("period") == 20191) & (F.col("category") == "Merchant payments")
-
 
 @pytest.mark.parametrize("name,edit,expected", [
     ("unique transaction grain", lambda d: d.unionByName(d.limit(1)), quality.FAIL),
