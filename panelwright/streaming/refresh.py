@@ -32,7 +32,8 @@ def refresh(spark: SparkSession, root: str, out: str, state: str, files_per_batc
         held = batch.persist()
         try:
             for name, rows in leaves.parse_tables(held).items():
-                rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+                # few files per table and batch, however many leaves it read
+                rows.hint("rebalance").write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
         finally:
             held.unpersist()
 

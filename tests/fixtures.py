@@ -25,15 +25,19 @@ def quarters(spark: SparkSession, n: int) -> DataFrame:
 
 def warehouse(spark: SparkSession, n: int = 15, districts: bool = True, places: dict = PLACES) -> Warehouse:
     """Every place grows by the same factor each quarter; users grow by one step."""
-    sizes = spark.createDataFrame(list(places.items()), "geo string, size double")
-    weights = spark.createDataFrame(list(WEIGHTS.items()), "category string, weight double")
-    towns = spark.createDataFrame([(t,) for t in TOWNS], "district string")
-    when = quarters(spark, n)
-    base = when.join(F.broadcast(sizes)).withColumn("amount", F.col("size") * F.pow(F.lit(GROWTH), "i"))
-    cells = base.join(F.broadcast(weights)).withColumns({
-        "txn_amount": F.col("amount") * F.col("weight"),
-        "txn_count": (F.col("amount") * F.col("weight") / 1200).cast("bigint"),
-    })
+    def each(df: DataFrame, name: str, values) -> DataFrame:
+        return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+    def looked_up(name: str, values: dict):
+        pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
+        return F.create_map(*pairs)[F.col(name)]
+
+    base = each(quarters(spark, n), "geo", places).withColumn(
+        "amount", looked_up("geo", places) * F.pow(F.lit(GROWTH), "i")
+    )
+    cells = each(base, "category", WEIGHTS).withColumn(
+        "txn_amount", F.col("amount") * looked_up("category", WEIGHTS)
+    ).withColumn("txn_count", (F.col("txn_amount") / 1200).cast("bigint"))
     by_state = cells.withColumn("level", F.lit("state"))
     country = cells.groupBy("year", "quarter", "category").agg(
         F.sum("txn_amount").alias("txn_amount"), F.sum("txn_count").alias("txn_count")
@@ -46,7 +50,7 @@ def warehouse(spark: SparkSession, n: int = 15, districts: bool = True, places:
         }),
     }
     if districts:
-        local = base.join(F.broadcast(towns)).withColumn("state", F.col("geo"))
+        local = each(base, "district", TOWNS).withColumn("state", F.col("geo"))
         tables["map_transaction"] = local.withColumns({
             "txn_amount": F.col("amount") / 2, "txn_count": (F.col("amount") / 2400).cast("bigint"),
         })
