@@ -23,7 +23,7 @@ from panelwright.plans import reports, service
 from panelwright.plans.ingest import ingest
 from panelwright.session import scratch_path, settle
 from panelwright.schemas import TABLES, feature_columns
-from panelwright.sources import leaves
+from panelwright.sources import leaves, sinks
 from panelwright.sources.warehouse import Warehouse, load_counts
 from panelwright.streaming.refresh import open_refreshed, refresh
 
@@ -207,6 +207,15 @@ from_warehouse("wape_by_fold", lambda w: reports.wape_by_fold(baseline_backtest(
 from_warehouse("hardest_easiest", lambda w: reports.hardest_easiest(baseline_backtest(w)))
 
 
+@query
+def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backtest predictions through the CSV sink and back."""
+    path = scratch_path(spark, "predictions")
+    predictions = baseline_backtest(OrderFacts(spark, sf_dir))
+    sinks.write_csv(predictions, path)
+    return rounded(spark.read.schema(predictions.schema).option("header", True).csv(path))
+
+
 @query
 def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge alone: fitted on all history, applied to the coming quarter."""
@@ -261,7 +270,16 @@ def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.choose_k_table(segments.choose_k(points, profiles.count()), spark)
 
 
+@query
+def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = service.Insights(OrderFacts(spark, sf_dir), CATEGORIES).segmentation
+    return reports.segment_report(found.clusters, segments.profile_shares(CATEGORIES))
+
+
 from_warehouse("segments", lambda w: service.Insights(w, CATEGORIES).segments())
+from_warehouse("state_forecast", lambda w: _forecast(service.Insights(w, CATEGORIES).state_forecast(STATE)))
+from_warehouse("state_cluster", lambda w: service.Insights(w, CATEGORIES).state_cluster(STATE))
+from_warehouse("state_outlook", lambda w: service.Insights(w, CATEGORIES).with_forecast(STATE))
 from_warehouse("state_detail", lambda w: service.Insights(w, CATEGORIES).state_detail(), stored=True)
 from_warehouse("snapshot", lambda w: service.Insights(w, CATEGORIES).snapshot(), stored=True)
 
