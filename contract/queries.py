@@ -151,6 +151,7 @@ from_warehouse("panel_grid", lambda w: _panel(panels.full_grid(settle(panel_of(w
 from_warehouse("features", lambda w: _features(features_of(w)))
 from_warehouse("forecast_frame", lambda w: _features(features.forecast_frame(settle(panel_of(w)), CATEGORIES)))
 from_warehouse("baseline_predictions", lambda w: rounded(backtest.baseline_predictions(features_of(w))))
+from_warehouse("last_periods", lambda w: backtest.last_periods(features_of(w)))
 from_warehouse("interval_quantiles", lambda w: rounded(intervals.residual_log_quantiles(settle(features_of(w))), 9))
 from_warehouse("interval_coverage", lambda w: rounded(intervals.coverage(settle(features_of(w))), 9))
 

@@ -113,9 +113,8 @@ def quarter_sums(df: DataFrame, features: Sequence[str]) -> QuarterSums | None:
             for q in np.unique(quarter):
                 part = z[quarter == q]
                 held[int(q)] = held.get(int(q), 0.0) + part.T @ part
-        yield pd.DataFrame({
-            "period_ord": list(held), "products": [g.ravel() for g in held.values()],
-        })
+        if held:
+            yield pd.DataFrame({"period_ord": list(held), "products": [g.ravel() for g in held.values()]})
 
     parts = df.select("period_ord", *columns).mapInPandas(
         partial, "period_ord int, products array<double>"

@@ -20,6 +20,8 @@ def local_session(app: str = "panelwright", cores: str = "*", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # one task per file is too many when thousands of leaves are listed on one machine
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "32")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -158,11 +158,11 @@ def read_bodies(
     min_year: int | None = None,
     max_year: int | None = None,
 ) -> DataFrame:
-    """One row per routed leaf with its whole body."""
+    """One row per routed leaf with its whole body; other datasets' folders are not even listed."""
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(f"{root.rstrip('/')}/data", wholetext=True)
+        .text(f"{root.rstrip('/')}/data/{{{','.join(datasets)}}}", wholetext=True)
     )
     return attach_records(raw, root).filter(_in_scope(datasets, min_year, max_year))
 

@@ -7,6 +7,8 @@ table, overwritten when the batch is repeated after a failure: rows arrive exact
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.schemas import TABLES, table_schema
@@ -31,9 +33,14 @@ def refresh(spark: SparkSession, root: str, out: str, state: str, files_per_batc
     def store(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            for name, rows in leaves.parse_tables(held).items():
-                # few files per table and batch, however many leaves it read
-                rows.hint("rebalance").write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+            # few files per table and batch, however many leaves it read
+            parts = {n: rows.hint("rebalance") for n, rows in leaves.parse_tables(held).items()}
+
+            def put(name: str) -> None:
+                parts[name].write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+
+            with ThreadPoolExecutor(len(parts)) as pool:
+                list(pool.map(put, parts))
         finally:
             held.unpersist()
 
