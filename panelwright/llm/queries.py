@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.bpe import encode_decode
 from panelwright.llm.common import table
 from panelwright.llm.exact_dedup import exact_groups
 
@@ -19,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
