@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.bpe import encode_decode
 from panelwright.llm.common import table
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
