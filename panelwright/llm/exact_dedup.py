@@ -74,12 +74,13 @@ def exact_groups(
         *((carry or {})[n].alias(n) for n in (carry or {})),
     ), "dedup-rows")
 
-    groups = (
+    # written first, so that both sides of the join are dealt out anew and a hot group is split
+    groups = stash((
         rows.where("_full is not null")
         .groupBy("_len", "_head", "_full")
         .agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size"))
         .where("_size > 1")
-    )
+    ), "dedup-groups")
     joined = rows.join(groups, ["_len", "_head", "_full"], "left")
     grouped = F.col("_size").isNotNull()
     return joined.select(

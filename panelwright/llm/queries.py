@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import encode_decode
 from panelwright.llm.common import table
+from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.simhash import near_duplicates
 
@@ -21,6 +22,39 @@ def query(fn):
     return fn
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+ORACLE["op1_decontaminate"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS m,
+    array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS s
+  FROM b, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS u(i) WHERE len(ws) > 0),
+dw AS (
+  SELECT doc_id, i, m, array_to_string(ws[i : i + m - 1], ' ') AS s
+  FROM w, (SELECT DISTINCT m FROM bw) AS ms, unnest(range(1, greatest(len(ws) - m + 1, 0) + 1)) AS u(i)),
+h AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, s)),
+c AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+n AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
