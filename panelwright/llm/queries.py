@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import encode_decode
-from panelwright.llm.common import table
+from panelwright.llm.common import crc_mod, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.langid import fit, identify
 from panelwright.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    # a row without an id can't have been learnt from
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out")
+    return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
