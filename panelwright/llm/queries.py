@@ -14,6 +14,7 @@ from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.langid import fit, identify
 from panelwright.llm.simhash import near_duplicates
+from panelwright.llm.url_filter import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +63,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
