@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,11 @@ from pyspark.sql import functions as F
 
 #: Distinct words remembered by a task before it starts afresh; bounds its memory only.
 MEMORY = 400_000
+#: Words learnt together (texts stay whole).
+CHUNK = 100_000
 
-# Fixed by the vocabulary's format: the cut into words, and white space as its cutter sees it.
+# Fixed by the vocabulary's format: the cut into words. White space only separates.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Letters and digits younger than Unicode 16, which the vocabulary's cutter takes for
 # signs, and capitals younger than Python's tables with the distance to their small letters.
 YOUNG = """
@@ -62,6 +66,21 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _near_words() -> str:
+    """The cut into words for texts below ``FAR``, spelled out so that the faster matcher can run it."""
+    kinds: dict[str, list[str]] = {"L": [], "N": [], "Z": []}
+    for c in map(chr, range(FAR)):
+        kind = "Z" if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind].append(c)
+    letter, number, space = ("".join(map(re.escape, kinds[k])) for k in "LNZ")
+    return f"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{space}{letter}{number}]+"
+
+
+#: Below this code point all tables agree, and one class holds the alphabets of western languages.
+FAR = 0x558
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (byte-level BPE with word ends)."""
 
@@ -73,14 +92,14 @@ class Codec:
         merges = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
-            ids = self.vocab[a], self.vocab[b]
-            self.merges[ids] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.pieces = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.longest = max(map(len, self.vocab))
-        alphabet = byte_alphabet()
-        self.stand_in = {b: alphabet[b] for b in range(256)}
+        self.alphabet = dict(enumerate(byte_alphabet()))
         young = _class(YOUNG.split())
+        self.near = re.compile(_near_words())
+        self.far = re.compile(f"[\\U{FAR:08x}-\U0010ffff]")
         self.words = regex.compile(WORDS)
         self.careful = regex.compile(
             WORDS.replace(r"[\p{L}]", rf"[\p{{L}}--[{young}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{young}]]")
@@ -88,19 +107,25 @@ class Codec:
         )
         self.rare = re.compile(f"[{young}{_class(CAPITALS)}]")
         self.small = {c: c + step for span, step in CAPITALS.items() for c in _span(span)}
-        self.spaces = regex.compile(SPACES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[bytes, int, str]] = {}
+        self.spines: dict[int, tuple[list, list] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.compatible: dict[int, bool] = {}
+        self.ids: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
 
     # -- words ------------------------------------------------------------------
 
     def _words(self, text: str) -> list[str]:
         """Normalise, lower-case and cut."""
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
         if "\u03a3" in text:  # lower-casing goes character by character here: no final sigma
             text = text.replace("\u03a3", "\u03c3")
-        if text.isascii() or not self.rare.search(text):
+        if text.isascii() or not self.far.search(text):
+            return self.near.findall(text.lower())
+        if not self.rare.search(text):
             return self.words.findall(text.lower())
         return self.careful.findall(text.lower().translate(self.small))
 
@@ -113,100 +138,152 @@ class Codec:
             out.extend([part] if i % 2 else self._words(part))
         return out
 
-    def symbols(self, word: str) -> list[str]:
-        chars = [self.stand_in[b] for b in word.encode("utf-8", "surrogatepass")]
-        chars[-1] += self.suffix
-        return chars
+    def symbols(self, word: str) -> str:
+        """One printable character per byte."""
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
 
-    # -- one word ---------------------------------------------------------------
+    # -- exact merging ------------------------------------------------------------
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: always the best-ranked adjacent pair, leftmost first."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min(
-                ((self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges), default=None
-            )
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
-        return ids
+    def base(self, symbols: str) -> list[int]:
+        """The ids merging starts from; the last one carries the word's end."""
+        return [*map(self.vocab.__getitem__, symbols[:-1]), self.vocab[symbols[-1] + self.suffix]]
 
-    def speculate(self, chars: list[str]) -> list[int]:
-        """Greedy longest match over a word's symbols (each symbol itself is in the vocabulary)."""
-        out, at, n = [], 0, len(chars)
+    def merge(self, ids: list[int], log: dict[int, tuple[int, int, int]] | None = None) -> list[int]:
+        """Exact merging: always the best-ranked adjacent pair, leftmost first."""
+        merges = self.merges
+        pairs = [merges.get(p) for p in zip(ids, ids[1:])]
+        while True:
+            found = [p for p in pairs if p is not None]
+            if not found:
+                return ids
+            best = min(found)
+            i = pairs.index(best)
+            if log is not None:
+                log[best[1]] = (best[0], ids[i], ids[i + 1])
+            ids[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = merges.get((ids[i - 1], ids[i]))
+            if i < len(pairs):
+                pairs[i] = merges.get((ids[i], ids[i + 1]))
+
+    # -- speculation and verification -----------------------------------------------
+
+    def speculate(self, symbols: str) -> list[int]:
+        """Greedy longest match (each symbol itself is in the vocabulary)."""
+        vocab, suffix, out, at, n = self.vocab, self.suffix, [], 0, len(symbols)
         while at < n:
-            end = min(n, at + self.longest)
-            while end > at + 1 and "".join(chars[at:end]) not in self.vocab:
+            if n - at <= self.longest and (token := vocab.get(symbols[at:] + suffix)) is not None:
+                out.append(token)
+                break
+            end = min(n - 1, at + self.longest)
+            while (token := vocab.get(symbols[at:end])) is None:
                 end -= 1
-            out.append(self.vocab["".join(chars[at:end])])
+            out.append(token)
             at = end
         return out
 
-    def _pair_ok(self, pair: tuple[int, int]) -> bool:
-        known = self.compatible.get(pair)
-        if known is None:
-            known = self.compatible[pair] = self.merge(self._base(pair[0]) + self._base(pair[1])) == list(pair)
-        return known
+    def spine(self, token: int) -> tuple[list, list] | None:
+        """How a token grows while its bytes are merged, seen from its right and its left edge.
 
-    def _base(self, token: int) -> list[int]:
+        Each edge is a list of (token at the edge, rank of the merge that swallows it), the last
+        with an infinite rank. None if merging its bytes does not give the token.
+        """
+        if token in self.spines:
+            return self.spines[token]
         piece = self.pieces[token]
-        end = self.suffix if self.suffix and piece.endswith(self.suffix) else ""
-        chars = list(piece[: len(piece) - len(end)])
-        chars[-1] += end
-        return [self.vocab[c] for c in chars]
-
-    # -- many words ----------------------------------------------------------------
+        closed = bool(self.suffix) and piece.endswith(self.suffix)
+        symbols = piece[: len(piece) - len(self.suffix)] if closed else piece
+        log: dict[int, tuple[int, int, int]] = {}
+        ids = self.base(symbols) if closed else [*map(self.vocab.__getitem__, symbols)]
+        edges = None
+        if self.merge(ids, log) == [token]:
+            edges = ([(token, math.inf)], [(token, math.inf)])
+            for side, edge in zip((2, 1), edges):
+                at = token
+                while at in log:
+                    rank, at = log[at][0], log[at][side]
+                    edge.append((at, rank))
+                edge.reverse()
+        self.spines[token] = edges
+        return edges
+
+    def pair_ok(self, a: int, b: int) -> bool:
+        """Whether merging leaves the border between two adjacent tokens alone.
+
+        At any time the border lies between the then outermost parts of both; it is crossed if
+        those can merge at a better rank than the next merge inside either (of equal ranks the
+        left one goes first).
+        """
+        left, right = self.spine(a), self.spine(b)
+        if left is None or right is None:
+            return False
+        left, right, i, j = left[0], right[1], 0, 0
+        while True:
+            (x, end_x), (y, end_y) = left[i], right[j]
+            cross = self.merges.get((x, y))
+            if cross is not None and cross[0] < end_x and cross[0] <= end_y:
+                return False
+            if end_x == end_y == math.inf:
+                return True
+            if end_x <= end_y:
+                i += 1
+            else:
+                j += 1
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words: guess all, test all adjacent pairs together, merge the failures."""
-        words = [w for w in words if w not in self.memo]
+        words = [w for w in words if w not in self.ids]
         if not words:
             return
-        chars = [[w] if w in self.special else self.symbols(w) for w in words]
-        guesses = [[self.special[w]] if w in self.special else self.speculate(c) for w, c in zip(words, chars)]
+        symbols = [self.symbols(w) for w in words]
+        guesses = [[self.special[w]] if w in self.special else self.speculate(s) for w, s in zip(words, symbols)]
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
-        flat = np.fromiter((i for g in guesses for i in g), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(guesses)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
-        fine = np.fromiter((self._pair_ok((int(p >> 32), int(p & 0xFFFFFFFF))) for p in pairs), bool, len(pairs))
-        # a one-token guess needs its own test only if merging cannot reach that token
+        known = self.compatible
+        for p in pairs.tolist():
+            if p not in known:
+                known[p] = self.pair_ok(p >> 32, p & 0xFFFFFFFF)
+        fine = np.fromiter(map(known.__getitem__, pairs.tolist()), bool, len(pairs))
         failing = np.zeros(len(guesses), bool)
         failing[owner[inner[~fine[which]]]] = True
-        for k, (word, guess) in enumerate(zip(words, guesses)):
-            if failing[k] or (len(guess) == 1 and word not in self.special and not self._reachable(guess[0])):
-                guess = self.merge([self.vocab[c] for c in chars[k]])
-            self.memo[word] = (
-                np.asarray(guess, "<u4").tobytes(), len(guess), " ".join(self.pieces[i] for i in guess)
-            )
-
-    def _reachable(self, token: int) -> bool:
-        known = self.compatible.get((token, -1))
-        if known is None:
-            known = self.compatible[token, -1] = self.merge(self._base(token)) == [token]
-        return known
+        # a guess of one token has no pair: it holds if merging can reach that token at all
+        for k in np.flatnonzero(sizes == 1).tolist():
+            failing[k] = words[k] not in self.special and self.spine(guesses[k][0]) is None
+        for k in np.flatnonzero(failing).tolist():
+            guesses[k] = self.merge(self.base(symbols[k]))
+        pieces = self.pieces
+        for word, guess in zip(words, guesses):
+            self.ids[word] = struct.pack(f"<{len(guess)}I", *guess)
+            self.shown[word] = " ".join([pieces[i] for i in guess])
+
+    # -- texts --------------------------------------------------------------------
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, int, list[str]]]:
         """Per text: ids as little-endian unsigned 32-bit integers, their number, its words."""
-        for text in texts:
-            words = self.split(text)
-            if len(self.memo) > MEMORY:
-                self.memo.clear()
-                self.compatible.clear()
-            self.learn(dict.fromkeys(words))
-            memo = self.memo
-            coded = b"".join([memo[w][0] for w in words])
-            yield coded, len(coded) // 4, words
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and size < CHUNK:
+                cut.append(self.split(texts[at]))
+                size += len(cut[-1])
+                at += 1
+            if len(self.ids) > MEMORY:
+                self.forget()
+            self.learn(dict.fromkeys(chain.from_iterable(cut)))
+            for words in cut:
+                coded = b"".join(map(self.ids.__getitem__, words))
+                yield coded, len(coded) // 4, words
 
     def decode_words(self, words: list[str]) -> str:
         """What decoding the words' ids gives: this format has no decoder, tokens are joined by spaces."""
-        memo = self.memo
-        return " ".join([memo[w][2] for w in words])
+        return " ".join(map(self.shown.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
-        return " ".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def default_vocabulary() -> str:
