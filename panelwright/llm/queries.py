@@ -13,9 +13,13 @@ from panelwright.llm.common import crc_mod, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.langid import fit, identify
+from panelwright.llm.pii import pseudonymise
 from panelwright.llm.simhash import near_duplicates
 from panelwright.llm.url_filter import judge
 
+#: Key of the registered query's pseudonyms; a real run passes its own secret.
+PSEUDONYM_KEY = "panelwright"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -58,6 +62,12 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_found", F.array_join("kinds", ",").alias("kinds"))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
