@@ -12,6 +12,7 @@ from panelwright.llm.bpe import encode_decode
 from panelwright.llm.common import crc_mod, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.html_extract import extract, train
 from panelwright.llm.langid import fit, identify
 from panelwright.llm.pii import pseudonymise
 from panelwright.llm.simhash import near_duplicates
@@ -68,6 +69,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_found", F.array_join("kinds", ",").alias("kinds"))
 
 
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages))
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
