@@ -378,12 +378,13 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
 
     Pages are read whole; repeated rows are treated alike and other columns are not read.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast((model.node, model.pair))  # plain values: tasks need no package
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
     def work(batches):
+        model = Model(*shared.value)
         for batch in batches:
-            texts = [main_text(h or "", shared.value) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h or "", model) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

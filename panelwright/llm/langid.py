@@ -181,11 +181,11 @@ def identify(
     text or one without a letter is ``und`` with score 0 and no spans, and so is every text if
     nothing was learnt. Repeated rows are judged alike; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))  # plain values: tasks need no package
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        model, memo = shared.value, {}
+        model, memo = Model(*shared.value), {}
         k = len(model.languages)
         held = np.empty((1024, k), np.float32)
         for batch in batches:

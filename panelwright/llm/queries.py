@@ -14,6 +14,7 @@ from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.html_extract import extract, train
 from panelwright.llm.langid import fit, identify
+from panelwright.llm.lm import score
 from panelwright.llm.pii import pseudonymise
 from panelwright.llm.simhash import near_duplicates
 from panelwright.llm.url_filter import judge
@@ -113,6 +114,11 @@ FROM d JOIN g USING (t)
 """
 
 
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 @query
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
