@@ -4,8 +4,8 @@ Fingerprints that differ in at most ``radius`` of 64 bits agree exactly on two o
 blocks, so every link lies inside a bucket of fingerprints with two equal blocks. A bucket is
 laid out in tiles; tiles are compared as numpy matrices (exclusive-or, bit count), and two tiles
 whose bit counts differ by more than the radius are never compared, since each differing bit
-changes the count by one. A tile comparison returns the links of a spanning forest, not all
-pairs: it loses no connection and stays linear in the rows.
+changes the count by one. Where a tile is full of links, only those of a spanning forest come
+out, not all pairs: that loses no connection and stays linear in the rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stash
+from panelwright.llm.common import fresh, lower_ascii, stash
 from panelwright.llm.components import components
 
 SHINGLE, RADIUS = 4, 4
@@ -66,41 +66,53 @@ def fingerprints(
     )
 
 
-def forest(own: np.ndarray, other: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what is within ``radius``; between the two tiles only, or inside one.
+def tile_links(
+    own: np.ndarray, other: np.ndarray | None, radius: int, masks: list[int], first: tuple[int, int], dense: int
+) -> list[tuple[int, int]]:
+    """Links within a tile, or between two, that belong to the bucket of blocks ``first``.
 
-    Breadth first over the not yet reached fingerprints: each is expanded once, by matrices of
-    at most 256 rows.
+    A link belongs to the first two blocks on which its ends agree, so that it is found in one
+    bucket only. Fingerprints with up to ``dense`` links here give all of them; of those with
+    more, the links that join what is not yet joined.
     """
     pool = own if other is None else np.concatenate([own, other])
-    side = np.zeros(len(pool), np.int8)
-    if other is not None:
-        side[len(own) :] = 1
-    alive = np.ones(len(pool), bool)
+    side = np.arange(len(pool)) >= len(own)
+    bits = np.bitwise_count(pool)
+    order = np.argsort(bits, kind="stable")
+    pool, side, bits = pool[order], side[order], bits[order].astype(np.int64)
+    label = np.arange(len(pool))
     out: list[tuple[int, int]] = []
-    for seed in range(len(pool)):
-        if not alive[seed]:
+    for at in range(0, len(pool), 256):
+        rows = pool[at : at + 256]
+        # bit counts further apart than the radius can't be within it
+        a = np.searchsorted(bits, bits[at] - radius)
+        b = np.searchsorted(bits, bits[min(at + 256, len(pool)) - 1] + radius, "right")
+        x = rows[:, None] ^ pool[a:b]
+        i, j = np.nonzero(np.bitwise_count(x) <= radius)
+        keep = i + at != j + a
+        if other is not None:
+            keep &= side[i + at] != side[j + a]
+        i, j = i[keep], j[keep]
+        if not len(i):
             continue
-        alive[seed] = False
-        front = np.array([seed])
-        while len(front):
-            rest = np.flatnonzero(alive)
-            if not len(rest):
-                break
-            near = []
-            for at in range(0, len(front), 256):
-                some = front[at : at + 256]
-                hit = np.bitwise_count(pool[some, None] ^ pool[rest]) <= radius
-                if other is not None:
-                    hit &= side[some, None] != side[rest]
-                found = hit.any(axis=0)
-                if found.any():
-                    parents = some[hit[:, found].argmax(axis=0)]
-                    near.append(rest[found])
-                    out.extend(zip(pool[parents].tolist(), pool[rest[found]].tolist()))
-                    alive[rest[found]] = False
-                    rest = rest[~found]
-            front = np.concatenate(near) if near else front[:0]
+        x = x[i, j]
+        mine = np.ones(len(x), bool)
+        for k, mask in enumerate(masks[: first[1] + 1]):
+            same = (x & np.uint64(mask)) == 0
+            mine &= same == (k in first)
+        i, j = i[mine] + at, j[mine] + a
+        degree = np.bincount(i, minlength=len(pool))
+        sparse = degree[i] <= dense
+        out.extend(zip(pool[i[sparse]].tolist(), pool[j[sparse]].tolist()))
+        i, j = i[~sparse], j[~sparse]
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
+        for s, e in zip(starts, np.append(starts[1:], len(i)) if len(i) else []):
+            me, near = i[s], j[s:e]
+            roots, which = np.unique(label[near], return_index=True)
+            for root, one in zip(roots, near[which]):
+                if root != label[me]:
+                    out.append((int(pool[me]), int(pool[one])))
+                    label[label == root] = label[me]
     return out
 
 
@@ -120,10 +132,13 @@ def _has_link(flat: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
 SMALL = 64  # buckets up to this size are tested many at a time; a matter of vector length only
 
 
-def _compare(radius: int):
+def _compare(radius: int, dense: int):
+    masks = blocks(radius)
+    chosen = list(combinations(range(len(masks)), 2))
+
     def work(batches):
         for batch in batches:
-            left, right = batch.column(0), batch.column(1)
+            left, right, kinds = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             flat = left.flatten().to_numpy().view(np.uint64)
             sizes = np.diff(left.offsets.to_numpy())
             ends = np.cumsum(sizes)
@@ -132,12 +147,12 @@ def _compare(radius: int):
             todo = ~small
             if small.any():
                 todo[np.flatnonzero(small)[_has_link(flat[np.repeat(small, sizes)], sizes[small], radius)]] = True
-            links: list[tuple[int, int]] = []
-            for k in np.flatnonzero(todo):
+            found: list[tuple[int, int]] = []
+            for k in np.flatnonzero(todo).tolist():
                 own = flat[ends[k] - sizes[k] : ends[k]]
                 other = None if alone[k] else right[k].values.to_numpy().view(np.uint64)
-                links.extend(forest(own, other, radius))
-            a, b = np.asarray(links, np.uint64).reshape(-1, 2).view(np.int64).T
+                found.extend(tile_links(own, other, radius, masks, chosen[kinds[k]], dense))
+            a, b = np.sort(np.asarray(found, np.uint64).reshape(-1, 2), axis=1).view(np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return work
@@ -149,8 +164,11 @@ def blocks(radius: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``a, b``: links that connect all fingerprints within ``radius``. ``distinct(fp)``: no repeats."""
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, dense: int = 0) -> DataFrame:
+    """``a, b``: links that connect all fingerprints within ``radius``. ``distinct(fp)``: no repeats.
+
+    With ``dense``, all links of fingerprints that have up to so many in a tile.
+    """
     masks = [x | y for x, y in combinations(blocks(radius), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select(
@@ -167,7 +185,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     one = (
         keyed.join(large, ["c", "key"], "left_anti")
         .groupBy("c", "key").agg(F.collect_list("fp").alias("own")).where(F.size("own") > 1)
-        .select("own", F.lit(None).cast("array<bigint>").alias("other"))
+        .select("own", F.lit(None).cast("array<bigint>").alias("other"), "c")
     )
     many = keyed.join(large, ["c", "key"], "left_semi").withColumn("p", count)
     spread = many.groupBy("c", "key", "p").agg(F.ceil(F.count("*") / tile).alias("parts"))
@@ -184,9 +202,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         near.repartition("c", "key", "na", "nb")
         .join(tiles.select("c", "key", F.col("name").alias("na"), "own"), ["c", "key", "na"])
         .join(tiles.select("c", "key", F.col("name").alias("nb"), F.col("own").alias("other")), ["c", "key", "nb"])
-        .select("own", F.when(F.expr("na <> nb"), F.col("other")).alias("other"))
+        .select("own", F.when(F.expr("na <> nb"), F.col("other")).alias("other"), "c")
     )
-    return one.unionByName(near).mapInArrow(_compare(radius), "a bigint, b bigint").distinct()
+    return one.unionByName(near).mapInArrow(_compare(radius, dense), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -210,3 +228,55 @@ def near_duplicates(
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# -- near duplicates by similarity -------------------------------------------------------
+
+#: A near-duplicate stage: words per shingle, candidate radius, least similarity of shingle sets,
+#: and links of one fingerprint that are all checked (of denser ones, a spanning forest's).
+WORDS, CANDIDATES, SIMILARITY, DENSE = 5, 10, 0.8, 64
+
+
+def shingles(text, size: int):
+    """Hashes of a text's distinct word shingles (a shorter text: its whole sequence)."""
+    words = F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (size - 1)))
+    return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
+                  radius: int = CANDIDATES, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: ids whose fingerprints are within ``radius`` and whose shingle sets are similar enough.
+
+    Of texts with the same fingerprint each is compared with the one of the smallest id, which
+    also stands for them towards other fingerprints. Rows without an id take no part.
+    """
+    rows = stash(fingerprints(docs, id_col, text_col, shingle).where("doc_id is not null").distinct(), "fingerprints")
+    known = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    near = links(known.select("fp"), radius, dense=DENSE)
+    first, second = known.toDF("a", "x"), known.toDF("b", "y")
+    between = near.join(first, "a").join(second, "b").select("x", "y")
+    same = rows.join(known, "fp").where("doc_id <> least").select(F.col("least").alias("x"), F.col("doc_id").alias("y"))
+    pairs = stash(between.unionByName(same), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct()
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sets = stash(source.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select(
+        "id", shingles(F.col("t"), shingle).alias("set")), "shingles")
+    both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(
+        F.col("x").alias("a"), F.col("y").alias("b")
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
+             radius: int = CANDIDATES, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id, with all its columns.
+
+    Rows without an id stay. Rows that share an id are one document.
+    """
+    roots = components(similar_links(docs, id_col, text_col, shingle, radius, similarity))
+    first = roots.groupBy("root").agg(F.min("node").alias("first"))
+    gone_name, = fresh(docs, "_gone")
+    gone = roots.join(first, "root").where("node <> first").select(F.col("node").alias(gone_name))
+    return docs.join(gone, F.col(id_col) == F.col(gone_name), "left_anti")

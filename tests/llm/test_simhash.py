@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import components
-from panelwright.llm.simhash import fingerprints, links, near_duplicates, simhash
+from panelwright.llm.simhash import fingerprints, keep_one, links, near_duplicates, simhash
 
 
 def by_definition(text: str, k: int = 4) -> int:
@@ -108,3 +108,24 @@ def test_table_against_brute_force(spark):
     for r in near_duplicates(docs).collect():
         assert r.component_id == min(i for i, m in marks.items() if want[m] == want[marks[r.doc_id]])
     assert fingerprints(docs).where(F.col("fp").isNull()).count() == 0
+
+
+def test_keep_one_of_each_group(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, groups_of = [], {}
+    for g in range(30):
+        base = make(250)
+        for k in range(rng.randint(2, 6)):
+            text = list(base)
+            if k:
+                text[rng.randrange(250)] = "changed"
+            groups_of[len(rows)] = g
+            rows.append((len(rows), " ".join(text), g))
+    alone = [(1000 + i, " ".join(make(120)), -1) for i in range(200)]
+    df = spark.createDataFrame(rows + alone + [(None, None, 0), (2000, "", 0), (2001, " ", 0)], "doc_id long, text string, _gone int")
+    kept = [r.doc_id for r in keep_one(df).collect()]
+    assert len(kept) == len(set(kept)) and set(range(1000, 1200)) <= set(kept) and None in kept
+    assert 2000 in kept and 2001 not in kept  # texts without words are alike
+    assert sorted(groups_of[i] for i in kept if i is not None and i < 1000) == list(range(30))
+    assert keep_one(df.limit(0)).collect() == []
