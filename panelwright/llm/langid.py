@@ -31,6 +31,8 @@ ORDERS = (1, 2, 3, 4)
 #: Share of a language's letters a script needs for the language to be a candidate there.
 SCRIPT_SHARE = 0.02
 MEMORY = 300_000
+#: A text in which no language scores this much is in none: junk, or a heap of scraps.
+LEAST = 0.25
 
 # First code points of script ranges, in order (Unicode blocks; letters only matter).
 SCRIPTS = [
@@ -171,6 +173,53 @@ def label(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return viterbi(scores, penalty)
 
 
+class Labeller:
+    """Labels texts with a model; remembers the scores of words it has met."""
+
+    def __init__(self, model: Model, penalty: float = PENALTY):
+        self.model, self.penalty = model, penalty
+        self.memo: dict[str, int] = {}
+        self.held = np.empty((1024, len(model.languages)), np.float32)
+
+    def _scores(self, found: list[str]) -> np.ndarray:
+        if len(self.memo) > MEMORY:
+            self.memo.clear()
+        memo, have = self.memo, len(self.memo)
+        new = [w for w in dict.fromkeys(found) if w not in memo]
+        if new:
+            need = have + len(new)
+            if need > len(self.held):
+                self.held = np.concatenate([self.held[:have], np.empty((need, self.held.shape[1]), np.float32)])
+            self.held[have:need] = np.concatenate(
+                [self.model.score(new[at : at + 20_000]) for at in range(0, len(new), 20_000)]
+            )
+            memo.update(zip(new, range(have, need)))
+        return self.held[np.fromiter(map(memo.__getitem__, found), np.int64, len(found))]
+
+    def __call__(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """Language, score, and spans as (first word, words, language)."""
+        names = self.model.languages
+        found = words(text) if text and names and any(map(str.isalpha, text)) else []
+        if not found:
+            return "und", 0.0, []
+        scores = self._scores(found)
+        path = label(scores, self.penalty)
+        letters = np.fromiter(map(len, found), np.float64, len(found))
+        weight = np.bincount(path, letters, len(names))
+        top = int(weight.argmax())
+        mine = path == top
+        lead = (scores[mine, top].astype(np.float64)[:, None] - scores[mine]).sum(axis=0)
+        sure = 1.0 / (1.0 + np.exp(-np.clip(np.delete(lead, top), -30, 30)).sum())
+        cuts = np.flatnonzero(np.diff(path)) + 1
+        firsts = np.append(0, cuts)
+        sizes = np.diff(np.append(firsts, len(path)))
+        spans = [(int(a), int(n), names[path[a]]) for a, n in zip(firsts, sizes)]
+        return names[top], float(weight[top] / letters.sum() * sure), spans
+
+
+SPANS = "array<struct<first: bigint, words: bigint, lang: string>>"
+
+
 def identify(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY
 ) -> DataFrame:
@@ -181,56 +230,40 @@ def identify(
     text or one without a letter is ``und`` with score 0 and no spans, and so is every text if
     nothing was learnt. Repeated rows are judged alike; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))  # plain values: tasks need no package
+    # plain values: tasks need no package
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))
     kind = docs.schema[id_col].dataType.simpleString()
+    spans = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
     def work(batches):
-        model, memo = Model(*shared.value), {}
-        k = len(model.languages)
-        held = np.empty((1024, k), np.float32)
+        judge = Labeller(Model(*shared.value), penalty)
         for batch in batches:
-            names, values, spans = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = words(text) if text and k and any(map(str.isalpha, text)) else []
-                if not found:
-                    names.append("und"), values.append(0.0), spans.append([])
-                    continue
-                if len(memo) > MEMORY:
-                    memo.clear()
-                new = [w for w in dict.fromkeys(found) if w not in memo]
-                if new:
-                    need = len(memo) + len(new)
-                    if need > len(held):
-                        held = np.concatenate([held[: len(memo)], np.empty((need, k), np.float32)])
-                    held[len(memo) : need] = np.concatenate(
-                        [model.score(new[at : at + 20_000]) for at in range(0, len(new), 20_000)]
-                    )
-                    memo.update(zip(new, range(len(memo), need)))
-                scores = held[np.fromiter(map(memo.__getitem__, found), np.int64, len(found))]
-                path = label(scores, penalty)
-                letters = np.fromiter(map(len, found), np.float64, len(found))
-                weight = np.bincount(path, letters, k)
-                top = int(weight.argmax())
-                mine = path == top
-                lead = scores[mine, top].astype(np.float64)[:, None] - scores[mine]
-                sure = 1.0 / (1.0 + np.exp(-np.clip(np.delete(lead.sum(axis=0), top), -30, 30)).sum())
-                cuts = np.flatnonzero(np.diff(path)) + 1
-                firsts = np.concatenate([[0], cuts])
-                names.append(model.languages[top])
-                values.append(float(weight[top] / letters.sum() * sure))
-                spans.append([
-                    {"first": int(a), "words": int(b - a), "lang": model.languages[path[a]]}
-                    for a, b in zip(firsts, np.append(cuts, len(path)))
-                ])
+            said = [judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64()),
-                 pa.array(spans, pa.list_(pa.struct(
-                     [("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])))],
+                [batch.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()),
+                 pa.array([[dict(zip(("first", "words", "lang"), s)) for s in x[2]] for x in said], spans)],
                 names=["doc_id", "lang_pred", "score", "spans"],
             )
 
-    schema = (
-        f"doc_id {kind}, lang_pred string, score double, "
-        "spans array<struct<first: bigint, words: bigint, lang: string>>"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
+        work, f"doc_id {kind}, lang_pred string, score double, spans {SPANS}"
     )
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(work, schema)
+
+
+def keep_identified(
+    docs: DataFrame, model: Model, least: float = LEAST, text_col: str = "text", penalty: float = PENALTY
+) -> DataFrame:
+    """The rows whose text is in a known language, with all their columns.
+
+    Rejected are texts without a letter and those in which no language has a score of ``least``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        judge = Labeller(Model(*shared.value), penalty)
+        for batch in batches:
+            said = map(judge, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != "und" and score >= least for name, score, _ in said], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
