@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.schemas import TABLES, table_columns
-from panelwright.session import settle
-from panelwright.sources.warehouse import Warehouse
+from panelwright.session import scratch_path
+from panelwright.sources.warehouse import Warehouse, open_table, write_table
 
 CATEGORIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 NATION = "all"
@@ -170,18 +170,73 @@ class OrderFacts(Warehouse):
 
 
 class StoredFacts(Warehouse):
-    """The same tables, each computed once when first asked for.
+    """The same tables, each stored once when first asked for, by year and quarter.
 
     The analytics expect stored tables, and some read one several times (say, to find the newest
-    quarter). Settled tables keep that from repeating the scan of the orders.
+    quarter). Reading them back keeps pruning of columns and periods.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._facts, self._held = OrderFacts(spark, sf_dir), {}
+    def __init__(self, spark: SparkSession, sf_dir: str, facts: Warehouse | None = None):
+        self._facts, self._held = facts or OrderFacts(spark, sf_dir), {}
+        self._spark, self._path = spark, scratch_path(spark, "facts")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
         if name not in self._held:
-            self._held[name] = settle(getattr(self._facts, name))
+            write_table(getattr(self._facts, name), self._path, name)
+            self._held[name] = open_table(self._spark, self._path, name)
         return self._held[name]
+
+
+# Rules that take cells out of the facts or spoil them, worded so that any SQL engine reads them.
+GONE = "level = 'state' AND (length(geo) * 7 + year * 4 + quarter) % 9 = 0"
+THIN = "district = 'machinery' AND length(state) % 2 = 0 AND year > 1992"
+TWICE = "category LIKE '1%' AND (year * 4 + quarter) % 11 = 3"
+BELOW = "category LIKE '2%' AND (year * 4 + quarter) % 13 = 5"
+KEYLESS = "category LIKE '3%' AND (year * 4 + quarter) % 17 = 2"
+ODD = "category LIKE '4%' AND (year * 4 + quarter) % 19 = 1"
+LOST = "level = 'country' AND year > 1994"
+
+
+class ThinnedFacts(Warehouse):
+    """Facts with holes: states that miss quarters, and districts with few of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._facts = OrderFacts(spark, sf_dir)
+
+    @property
+    def agg_transaction(self) -> DataFrame:
+        return self._facts.agg_transaction.filter(f"NOT ({GONE})")
+
+    @property
+    def agg_user(self) -> DataFrame:
+        return self._facts.agg_user
+
+    @property
+    def map_transaction(self) -> DataFrame:
+        return self._facts.map_transaction.filter(f"NOT ({THIN})")
+
+    @property
+    def map_user(self) -> DataFrame:
+        return self._facts.map_user
+
+    @property
+    def top_transaction(self) -> DataFrame:
+        return self._facts.top_transaction
+
+
+class DamagedFacts(ThinnedFacts):
+    """Holes, and rows that every check but one must find: repeated, negative, keyless, misdated, lost."""
+
+    @property
+    def agg_transaction(self) -> DataFrame:
+        rows = super().agg_transaction.filter(f"NOT ({LOST})")
+        spoilt = {
+            "txn_amount": f"CASE WHEN {BELOW} THEN -txn_amount ELSE txn_amount END",
+            "category": f"CASE WHEN {KEYLESS} THEN NULL ELSE category END",
+            "quarter": f"CASE WHEN {ODD} THEN 7 ELSE quarter END",
+        }
+        return rows.unionByName(rows.filter(TWICE)).selectExpr(
+            *[f"{spoilt.get(c, c)} AS {c}" for c in table_columns("agg_transaction")]
+        )

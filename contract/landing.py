@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract.facts import NATION
@@ -104,11 +105,13 @@ def leaf_bodies(w: Warehouse, kinds: Sequence[str] = tuple(KINDS)) -> DataFrame:
 
 
 def write_leaves(leaves: DataFrame, root: str) -> int:
-    """Write each body to ``<root>/data/<rel_path>`` from the tasks; a repeated task writes the same."""
+    """Write each body to ``<root>/data/<rel_path>`` from the tasks; a repeated task writes the same.
+
+    ``root`` has a scheme (see ``session.shared_dir``), so that it means the same to every task.
+    """
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = (
-            fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
-        )
+        # this writer knows the object store by another scheme than Spark does
+        store, base = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", root))
         for pdf in batches:
             for rel, body in zip(pdf["rel_path"], pdf["body"]):
                 target = f"{base.rstrip('/')}/data/{rel}"
@@ -118,3 +121,14 @@ def write_leaves(leaves: DataFrame, root: str) -> int:
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return leaves.mapInPandas(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def backdate(spark: SparkSession, root: str, pattern: str, days: int) -> int:
+    """Give the landed leaves that match a glob below ``data`` an older file time; returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    glob = jvm.org.apache.hadoop.fs.Path(f"{root}/data/{pattern}")
+    store = glob.getFileSystem(conf)
+    found = store.globStatus(glob)
+    for status in found:
+        store.setTimes(status.getPath(), status.getModificationTime() - days * 86_400_000, -1)
+    return len(found)

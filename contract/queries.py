@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contract import landing
-from contract.facts import CATEGORIES, OrderFacts, StoredFacts
+from contract.facts import CATEGORIES, DamagedFacts, OrderFacts, StoredFacts, ThinnedFacts
 from panelwright.operators import (
     backtest, features, forecast, growth, intervals, kpis, metrics, outliers, panels, quality, ridge,
     segments, signals,
 )
 from panelwright.operators.boosting import Boosting
+from panelwright.functions import parity_round
 from panelwright.plans import reports, service
 from panelwright.plans.ingest import ingest
 from panelwright.session import scratch_path, settle
 from panelwright.schemas import TABLES, feature_columns
 from panelwright.sources import leaves, sinks
 from panelwright.sources.warehouse import Warehouse, load_counts
-from panelwright.streaming.refresh import open_refreshed, refresh
+from panelwright.streaming.refresh import Refreshed, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,14 +50,7 @@ def from_warehouse(name: str, build: Callable[[Warehouse], DataFrame], stored: b
 def rounded(df: DataFrame, digits: int = 2, **special: int) -> DataFrame:
     """Round the double columns; ``special`` names columns with other digits."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.expr(_round_text(f"`{c}`", special.get(c, digits))) for c in doubles})
-
-
-def _round_text(x: str, digits: int) -> str:
-    """``parity_round`` as text: one call per column for frames with many columns."""
-    size = f"abs({x}) * {float(10**digits)}D"
-    half_up = f"signum({x}) * floor({size} + 0.5D) / {float(10**digits)}D"
-    return f"CASE WHEN {size} < {float(2**52)}D THEN {half_up} ELSE {x} END"
+    return df.withColumns({c: parity_round(F.col(f"`{c}`"), special.get(c, digits)) for c in doubles})
 
 
 # -- fact tables and KPIs --------------------------------------------------------
@@ -150,6 +144,23 @@ from_warehouse("panel_district", lambda w: _panel(panels.district_panel(w, categ
 from_warehouse("panel_grid", lambda w: _panel(panels.full_grid(settle(panel_of(w)))))
 from_warehouse("features", lambda w: _features(features_of(w)))
 from_warehouse("forecast_frame", lambda w: _features(features.forecast_frame(settle(panel_of(w)), CATEGORIES)))
+
+# the same over facts with holes and faults
+for _name, _build in {
+    "dq_report": lambda w: rounded(quality.run_checks(w), 9),
+    "dq_summary": lambda w: quality.summary(quality.run_checks(w)),
+}.items():
+    QUERIES[f"{_name}_damaged"] = lambda spark, sf_dir, f=_build: f(StoredFacts(spark, sf_dir, DamagedFacts(spark, sf_dir)))
+for _name, _build in {
+    "dq_panel_gaps": lambda w: quality.panel_gaps(w.state_txn_quarter),
+    "dq_missing_cells": lambda w: quality.missing_cells(w.state_txn_quarter),
+    "panel_state": lambda w: _panel(panel_of(w)),
+    "panel_grid": lambda w: _panel(panels.full_grid(settle(panel_of(w)))),
+    "panel_district": lambda w: _panel(panels.district_panel(w, categories=CATEGORIES)),
+    "features": lambda w: _features(features_of(w)),
+}.items():
+    QUERIES[f"{_name}_thinned"] = lambda spark, sf_dir, f=_build: f(StoredFacts(spark, sf_dir, ThinnedFacts(spark, sf_dir)))
+
 from_warehouse("baseline_predictions", lambda w: rounded(backtest.baseline_predictions(features_of(w))))
 from_warehouse("last_periods", lambda w: backtest.last_periods(features_of(w)))
 from_warehouse("interval_quantiles", lambda w: rounded(intervals.residual_log_quantiles(settle(features_of(w))), 9))
@@ -167,22 +178,18 @@ from_warehouse(
 from_warehouse("forecast_state_ridge", lambda w: _forecast(service.Insights(w, CATEGORIES).forecast_next_quarter()))
 
 
-def category_forecast(w: Warehouse) -> DataFrame:
-    return forecast.next_quarter(panels.category_panel(w, CATEGORIES), CATEGORIES, ridge=False)
+def category_forecasts(w: Warehouse, top: int) -> DataFrame:
+    return service.Insights(w, CATEGORIES).forecast_categories(top)
 
 
-def district_forecast(w: Warehouse) -> DataFrame:
-    panel = panels.district_panel(w, categories=CATEGORIES)
-    return forecast.next_quarter(panel, CATEGORIES, ridge=False)
+def district_forecasts(w: Warehouse, state: str | None = None) -> DataFrame:
+    return service.Insights(w, CATEGORIES).forecast_districts(30, state)
 
 
-from_warehouse("forecast_category", lambda w: _forecast(forecast.top_children(category_forecast(w), "category", 25)))
-from_warehouse("forecast_district", lambda w: _forecast(forecast.top_children(district_forecast(w), "district", 30)))
-from_warehouse(
-    "forecast_district_of_state",
-    lambda w: _forecast(forecast.top_children(district_forecast(w), "district", 30, STATE)),
-)
-from_warehouse("fastest_categories", lambda w: forecast.fastest(category_forecast(w)))
+from_warehouse("forecast_category", lambda w: _forecast(category_forecasts(w, 25)))
+from_warehouse("forecast_district", lambda w: _forecast(district_forecasts(w)))
+from_warehouse("forecast_district_of_state", lambda w: _forecast(district_forecasts(w, STATE)))
+from_warehouse("fastest_categories", lambda w: forecast.fastest(service.Insights(w, CATEGORIES).category_forecasts))
 
 
 # -- backtest ----------------------------------------------------------------------
@@ -238,17 +245,11 @@ def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(rows.filter("is_next")).select("state", "period_key", "y_pred")
 
 
-# Boosting runs a few jobs per round whatever the data size. One fit above takes the model's 300
-# rounds; the eight fits of this backtest take fewer, which changes the model, not the data it sees.
-BOOSTING_ROUNDS = 20
-
-
 @query
 def backtest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model with its own defaults; the folds of the boosted one are fitted side by side."""
     rows = settle(features_of(OrderFacts(spark, sf_dir)))
-    return backtest.walk_forward(
-        rows, models_factory=lambda: backtest.default_models(CATEGORIES, BOOSTING_ROUNDS)
-    )
+    return backtest.walk_forward(rows, models_factory=lambda: backtest.default_models(CATEGORIES), parallelism=8)
 
 
 # -- anomalies and segments ----------------------------------------------------------
@@ -336,9 +337,8 @@ for _name in TABLES:
 
 @query
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-quarter user and district leaves arrive cut in half."""
-    cut = F.col("rel_path").rlike(r"^(aggregated/user|map/transaction)/.*/1\.json$")
-    root = landed(spark, sf_dir, "agg_transaction", "agg_user", "map_transaction", "map_user", broken=cut)
+    """All kinds of leaves land; those of first quarters arrive cut in half."""
+    root = landed(spark, sf_dir, broken=F.col("rel_path").rlike(r"/1\.json$"))
     return leaves.quarantine(leaves.read_bodies(spark, root))
 
 
@@ -349,17 +349,32 @@ def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_totals(done.warehouse)
 
 
-@query
-def refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two arrivals, odd quarters first, each followed by a refresh."""
-    w = StoredFacts(spark, sf_dir)
+def refreshed(spark: SparkSession, sf_dir: str) -> Refreshed:
+    """Two arrivals, odd quarters first, each followed by a refresh.
+
+    Of the second one, a year's leaves carry file times of long before the first, and the user
+    leaves of second quarters are cut in half.
+    """
     root, out, state = (scratch_path(spark, label) for label in ("landing", "tables", "progress"))
-    bodies = settle(landing.leaf_bodies(w))
+    bodies = settle(landing.leaf_bodies(StoredFacts(spark, sf_dir)))
     odd = F.col("rel_path").rlike(r"/[13]\.json$")
-    for part in (bodies.filter(odd), bodies.filter(~odd)):
-        landing.write_leaves(part, root)
-        refresh(spark, root, out, state)
-    return table_totals(open_refreshed(spark, out))
+    broken = F.col("rel_path").rlike(r"^aggregated/user/.*/2\.json$")
+    half = F.left(F.col("body"), F.floor(F.length("body") / 2).cast("int"))
+    landing.write_leaves(bodies.filter(odd), root)
+    refresh(spark, root, out, state)
+    landing.write_leaves(bodies.filter(~odd).withColumn("body", F.when(broken, half).otherwise(F.col("body"))), root)
+    landing.backdate(spark, root, "map/user/hover/country/*/state/*/1996/[24].json", 400)
+    return refresh(spark, root, out, state)
+
+
+@query
+def refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_totals(refreshed(spark, sf_dir).warehouse)
+
+
+@query
+def refresh_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refreshed(spark, sf_dir).quarantine
 
 
 def table_totals(w: Warehouse) -> DataFrame:

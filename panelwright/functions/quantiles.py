@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ALL = "_all"
+#: Ranges that a band of values is cut into.
+RANGES = 1024
 
 
 def exact_quantiles(
@@ -25,11 +27,11 @@ def exact_quantiles(
 
     1. a mergeable sketch proposes a narrow value band around every wanted rank,
     2. exact counts below and inside each band are taken,
-    3. only rows inside the bands are ranked, after folding equal values.
+    3. equal values inside the bands are folded, each band is cut into ``RANGES`` ranges of
+       values that are counted, and only the range that holds the rank is ranked.
 
-    The result does not depend on how good the sketch is: where a band misses its rank,
-    the group is ranked without the band. ``by`` must name a bounded set of groups
-    (quarters), as one row per group is broadcast.
+    The result does not depend on how good the sketch is: a band that misses its rank is
+    replaced by the whole span of the group, and cut into ranges like any other.
     """
     keys = list(by) or [_ALL]
     rows = df if by else df.withColumn(_ALL, F.lit(0))
@@ -41,10 +43,10 @@ def exact_quantiles(
         F.percentile_approx("x", edges, accuracy).alias("edge")
     )
     counts = (
-        rows.join(F.broadcast(sketch), keys)
+        rows.join(sketch, keys)
         .groupBy(*keys, "edge")
         .agg(
-            F.count("*").alias("n"),
+            F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"),
             *[F.count_if(F.col("x") < F.col("edge")[2 * i]).alias(f"below{i}") for i in range(len(probs))],
             *[
                 F.count_if(F.col("x").between(F.col("edge")[2 * i], F.col("edge")[2 * i + 1])).alias(f"in{i}")
@@ -59,8 +61,8 @@ def exact_quantiles(
         held = (F.col(f"below{i}") <= first) & (last < F.col(f"below{i}") + F.col(f"in{i}"))
         return F.struct(
             F.lit(i).alias("i"),
-            F.when(held, F.col("edge")[2 * i]).alias("lo"),
-            F.when(held, F.col("edge")[2 * i + 1]).alias("hi"),
+            F.when(held, F.col("edge")[2 * i]).otherwise(F.col("least")).alias("lo"),
+            F.when(held, F.col("edge")[2 * i + 1]).otherwise(F.col("most")).alias("hi"),
             F.when(held, F.col(f"below{i}")).otherwise(F.lit(0)).alias("skipped"),
             first.alias("first"),
             last.alias("last"),
@@ -69,21 +71,31 @@ def exact_quantiles(
 
     bands = counts.select(*keys, "n", F.array(*[band(i, p) for i, p in enumerate(probs)]).alias("bands"))
     hit = (
-        rows.join(F.broadcast(bands), keys)
+        rows.join(bands, keys)
         .select(
             *keys, "n", "x",
             F.explode(
-                F.filter("bands", lambda b: b["lo"].isNull() | F.col("x").between(b["lo"], b["hi"]))
+                F.filter("bands", lambda b: F.col("x").between(b["lo"], b["hi"]))
             ).alias("b"),
         )
         .groupBy(*keys, "n", "b", "x")
         .agg(F.count("*").alias("c"))
     )
-    upto = F.col("b")["skipped"] + F.sum("c").over(
-        Window.partitionBy(*keys, "b.i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    wide = F.col("b.hi") - F.col("b.lo")
+    cut = F.when(wide > 0, F.floor((F.col("x") - F.col("b.lo")) / wide * (RANGES - 1))).otherwise(0)
+    cells = hit.withColumns({"i": F.col("b.i"), "cell": F.coalesce(cut, F.lit(0)).cast("int")})
+    so_far = Window.partitionBy(*keys, "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (
+        cells.groupBy(*keys, "i", "cell").agg(F.sum("c").alias("held"), F.first("b").alias("b"))
+        .withColumn("end", F.col("b.skipped") + F.sum("held").over(so_far))
+        .withColumn("start", F.col("end") - F.col("held"))
+        .filter((F.col("start") <= F.col("b.last")) & (F.col("end") > F.col("b.first")))
+        .select(*keys, "i", "cell", "start")
     )
+    inside = Window.partitionBy(*keys, "i", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        hit.withColumn("upto", upto)
+        cells.join(counted, [*keys, "i", "cell"])
+        .withColumn("upto", F.col("start") + F.sum("c").over(inside))
         .groupBy(*keys, "n", F.col("b.i").alias("i"), F.col("b.part").alias("part"))
         .agg(
             F.min(F.when(F.col("upto") > F.col("b.first"), F.col("x"))).alias("a"),

@@ -80,7 +80,7 @@ def run_checks(warehouse: Warehouse, low: float = 0.8, high: float = 1.2) -> Dat
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("missing")).alias("m"), "state"))).alias("w"))
         .select(
             F.array_join(
-                F.transform("w", lambda g: F.format_string("%s(%d)", g["state"], -g["m"])), ", "
+                F.transform("w", lambda g: F.format_string("%s lacks %d", g["state"], -g["m"])), "; "
             )
         )
         .scalar()
@@ -98,22 +98,22 @@ def run_checks(warehouse: Warehouse, low: float = 0.8, high: float = 1.2) -> Dat
         )
 
     def counted(metric: str, unit: str) -> Column:
-        return F.format_string(f"%d {unit}", F.col(metric))
+        return F.format_string(f"{unit}: %d", F.col(metric))
 
     ratio = F.col("level_ratio")
-    gap_text = F.when(F.col("gap_states") == 0, F.lit("balanced panel")).otherwise(
-        F.format_string("%d states with gaps: %s", F.col("gap_states"), F.col("worst"))
+    gap_text = F.when(F.col("gap_states") == 0, F.lit("every state reports every quarter")).otherwise(
+        F.format_string("%d incomplete, worst first: %s", F.col("gap_states"), F.col("worst"))
     )
     rows = F.array(
-        check("agg_transaction non-empty", "n_rows", F.col("n_rows") > 0, FAIL, counted("n_rows", "rows")),
-        check("no negative txn metrics", "negative", F.col("negative") == 0, FAIL, counted("negative", "bad rows")),
-        check("no null keys", "null_keys", F.col("null_keys") == 0, FAIL, counted("null_keys", "rows")),
-        check("unique transaction grain", "dup_groups", F.col("dup_groups") == 0, FAIL,
-              counted("dup_groups", "dup groups")),
-        check("quarter in 1..4", "bad_quarter", F.col("bad_quarter") == 0, FAIL, counted("bad_quarter", "rows")),
-        check("panel completeness", "gap_states", F.col("gap_states") == 0, WARN, gap_text),
-        check("state vs national total", "level_ratio", ratio.between(low, high), WARN,
-              F.format_string("state/national = %.3f", ratio)),
+        check("facts_present", "n_rows", F.col("n_rows") > 0, FAIL, counted("n_rows", "rows stored")),
+        check("figures_not_negative", "negative", F.col("negative") == 0, FAIL, counted("negative", "rows below zero")),
+        check("keys_complete", "null_keys", F.col("null_keys") == 0, FAIL, counted("null_keys", "rows lacking a key")),
+        check("one_row_per_cell", "dup_groups", F.col("dup_groups") == 0, FAIL,
+              counted("dup_groups", "cells stored twice")),
+        check("quarter_valid", "bad_quarter", F.col("bad_quarter") == 0, FAIL, counted("bad_quarter", "rows outside")),
+        check("no_missing_quarters", "gap_states", F.col("gap_states") == 0, WARN, gap_text),
+        check("levels_agree", "level_ratio", ratio.between(low, high), WARN,
+              F.format_string("sum of states is %.3f of the country", ratio)),
     )
     return facts.select(F.inline(rows))
 
@@ -132,9 +132,9 @@ def has_failures(checks: DataFrame) -> bool:
 
 
 def format_report(checks: DataFrame) -> str:
-    """The seven checks as text."""
-    rows = checks.collect()
-    lines = [f"[{r.status:4}] {r.name:32} {r.detail}" for r in rows]
-    fails, warns = (sum(r.status == s for r in rows) for s in (FAIL, WARN))
-    rule = "-" * 60
-    return "\n".join(["Data-quality report", rule, *lines, rule, f"{len(rows)} checks | {fails} FAIL | {warns} WARN"])
+    """The checks as text, those that need attention first."""
+    order = {FAIL: 0, WARN: 1, PASS: 2}
+    rows = sorted(checks.collect(), key=lambda r: order[r.status])
+    open_ones = [r for r in rows if r.status != PASS]
+    head = f"{len(open_ones)} of {len(rows)} checks need attention" if open_ones else f"all {len(rows)} checks hold"
+    return "\n".join([head, *(f"  {r.name} {r.status} - {r.detail}" for r in rows)])

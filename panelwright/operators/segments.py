@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +21,6 @@ BEHAVIOUR = ["yoy_growth", "txns_per_user", "avg_ticket", "user_growth"]
 K_RANGE = range(2, 7)
 STARTS = 10
 
-# Entities up to which all points are shared for the exact silhouette, and member lists are
-# returned as arrays. Beyond it: the evaluator's linear-time silhouette, one row per member.
-SMALL = 20_000
-
 
 def profile_shares(categories: Sequence[str] = CATEGORIES) -> list[str]:
     """A profile uses the shares of the first three categories."""
@@ -92,40 +85,13 @@ def best_kmeans(
     }
 
 
-def silhouette(labelled: DataFrame, n: int) -> tuple[float, str]:
-    """Mean silhouette of ``features`` / ``prediction``, and the distance it uses.
+def silhouette(labelled: DataFrame) -> float:
+    """Mean silhouette of ``features`` / ``prediction`` under squared Euclidean distance.
 
-    Euclidean silhouette needs every pair of points. While ``n`` is small the points, a few
-    numbers each, are sent to the tasks and each row is measured against them in numpy;
-    no pairs are written or joined. Larger inputs use the evaluator's closed form.
+    The evaluator's closed form needs the sums of each cluster only: linear, distributed, and
+    the same measure whatever the number of entities.
     """
-    if n > SMALL:
-        return ClusteringEvaluator(metricName="silhouette").evaluate(labelled), "squaredEuclidean"
-    flat = labelled.select(vector_to_array("features").alias("x"), "prediction")
-    known = flat.toPandas()
-    shared = labelled.sparkSession.sparkContext.broadcast(
-        (np.array(known["x"].tolist()), known["prediction"].to_numpy())
-    )
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, labels = shared.value
-        names, where = np.unique(labels, return_inverse=True)
-        sizes = np.bincount(where)
-        for pdf in batches:
-            widths = []
-            for x, label in zip(pdf["x"], pdf["prediction"]):
-                away = np.sqrt(((points - np.asarray(x)) ** 2).sum(axis=1))
-                sums = np.bincount(where, weights=away)
-                own = int(np.searchsorted(names, label))
-                if sizes[own] == 1 or len(names) == 1:
-                    widths.append(0.0)
-                    continue
-                a = sums[own] / (sizes[own] - 1)
-                b = np.delete(sums / sizes, own).min()
-                widths.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-            yield pd.DataFrame({"width": widths})
-
-    return flat.mapInPandas(measure, "width double").agg(F.avg("width")).first()[0], "euclidean"
+    return ClusteringEvaluator(metricName="silhouette").evaluate(labelled)
 
 
 @dataclass(frozen=True)
@@ -134,7 +100,6 @@ class Choice:
 
     k: int
     scores: dict[int, float] = field(default_factory=dict)
-    metric: str = "euclidean"
     model: KMeansModel | None = None
 
 
@@ -146,15 +111,15 @@ def choose_k(points: DataFrame, n: int, k_range: Sequence[int] = K_RANGE, seed:
 
     models = best_kmeans(points, candidates, seed)
     with ThreadPoolExecutor(len(candidates)) as pool:
-        rated = list(pool.map(lambda k: silhouette(models[k].transform(points), n), candidates))
-    scores = {k: s for k, (s, _) in zip(candidates, rated)}
+        rated = list(pool.map(lambda k: silhouette(models[k].transform(points)), candidates))
+    scores = dict(zip(candidates, rated))
     best = max(scores, key=scores.get)
-    return Choice(best, scores, rated[0][1], models[best])
+    return Choice(best, scores, models[best])
 
 
 def choose_k_table(choice: Choice, spark) -> DataFrame:
-    rows = [(k, float(s), choice.metric, k == choice.k) for k, s in choice.scores.items()]
-    return spark.createDataFrame(rows, "k int, silhouette double, metric string, chosen boolean")
+    rows = [(k, float(s), k == choice.k) for k, s in choice.scores.items()]
+    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
 @dataclass(frozen=True)
@@ -193,7 +158,7 @@ def segment(
         found = model.transform(points)
         width = choice.scores.get(choice.k)
         if width is None and 1 < choice.k < n:
-            width = silhouette(found, n)[0]
+            width = silhouette(found)
         labelled = settle(_stable_labels(found))
     finally:
         points.unpersist()
@@ -207,9 +172,6 @@ def _cluster_profile(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def members(segments: Segments) -> DataFrame:
-    """Cluster profiles with their members: a sorted array each, or a row per member when many."""
-    if segments.n <= SMALL:
-        lists = segments.labelled.groupBy("cluster").agg(F.sort_array(F.collect_list("state")).alias("states"))
-        return segments.clusters.join(lists, "cluster").orderBy("cluster")
-    rows = segments.labelled.select("cluster", F.array("state").alias("states"))
-    return rows.join(F.broadcast(segments.clusters), "cluster").orderBy("cluster", "states")
+    """One row per member, next to the profile of its cluster."""
+    rows = segments.labelled.select("cluster", "state")
+    return rows.join(F.broadcast(segments.clusters), "cluster").orderBy("cluster", "state")

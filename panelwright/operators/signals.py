@@ -63,21 +63,38 @@ def _uniform(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit(mask)) / F.lit(float(1 << 53))
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    """Distribution function of the number of successes in ``n`` draws, up to where it is one."""
+    out, total = [], 0.0
+    for k in range(n + 1):
+        log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        total += math.exp(log + k * math.log(p) + (n - k) * math.log1p(-p)) if p < 1.0 else float(k == n)
+        out.append(total)
+        if total > 1.0 - 1e-15:
+            break
+    return out
+
+
 def _samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
     """About ``sample`` rows for each tree, with the tree number.
 
-    Each row draws its trees by hash. When the data is much larger than all samples together
-    one draw decides both whether and where a row goes; otherwise a row may serve many trees.
-    A small surplus is drawn and cut to the exact size afterwards.
+    One law at every size: a hash of the row draws how many trees it serves (binomial), another
+    which ones (distinct), so the cost follows the draws. A small surplus is drawn and cut to the
+    exact size afterwards; a tree that has drawn fewer is grown on what it has.
     """
     share = min(1.0, 1.3 * sample / n)
-    row = (F.col("state"), F.col("period_ord"), F.lit(seed))
-    if trees * share < 1.0:
-        draw = _uniform(*row)
-        drawn = rows.withColumn("tree", F.floor(draw / share).cast("int")).filter(draw < trees * share)
-    else:
-        picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(*row, t) < share)
-        drawn = rows.withColumn("tree", F.explode(picks))
+    row = (F.col("state"), F.col("period_ord"))
+
+    def draw(name: str) -> Column:
+        return _uniform(F.lit(f"{name} {seed}"), *row)
+
+    law = F.array(*[F.lit(x) for x in _binomial(trees, share)])
+    many = F.least(F.lit(trees), F.size(F.filter(law, lambda x: x < draw("many"))))
+    strides = [k for k in range(1, trees + 1) if math.gcd(k, trees) == 1]
+    stride = F.array(*map(F.lit, strides))[F.floor(draw("stride") * len(strides)).cast("int")]
+    first = F.floor(draw("first") * trees).cast("int")
+    picks = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.pmod(first + i * stride, F.lit(trees)))
+    drawn = rows.withColumn("_many", many).filter("_many > 0").withColumn("tree", F.explode(picks)).drop("_many")
     order = F.xxhash64("state", "period_ord", F.lit(seed + 1), "tree")
     place = F.row_number().over(Window.partitionBy("tree").orderBy(order, "state", "period_ord"))
     return drawn.withColumn("place", place).filter(F.col("place") <= sample)

@@ -138,12 +138,14 @@ class Insights:
 
     @cached_property
     def category_forecasts(self) -> DataFrame:
-        return settle(forecast.next_quarter(panels.category_panel(self.warehouse, self.categories), self.categories))
+        return settle(forecast.next_quarter(
+            panels.category_panel(self.warehouse, self.categories), self.categories, ridge=False
+        ))
 
     @cached_property
     def district_forecasts(self) -> DataFrame:
         panel = panels.district_panel(self.warehouse, categories=self.categories)
-        return settle(forecast.next_quarter(panel, self.categories))
+        return settle(forecast.next_quarter(panel, self.categories, ridge=False))
 
     @cached_property
     def anomaly_ranking(self) -> DataFrame:
@@ -161,10 +163,15 @@ class Insights:
         )
 
     def forecast_categories(self, top: int = 25) -> DataFrame:
-        return forecast.top_children(self.category_forecasts, "category", top)
+        return self._named(forecast.top_children(self.category_forecasts, "category", top))
 
     def forecast_districts(self, top: int = 30, state: str | None = None) -> DataFrame:
-        return forecast.top_children(self.district_forecasts, "district", top, state)
+        return self._named(forecast.top_children(self.district_forecasts, "district", top, state))
+
+    @staticmethod
+    def _named(df: DataFrame) -> DataFrame:
+        """With the quarter's label and the model that made the forecast."""
+        return df.withColumns({"quarter": period_label(), "champion_model": F.lit(CHAMPION)})
 
     def state_forecast(self, state: str) -> DataFrame:
         return self.forecast_next_quarter().filter(F.col("state") == state)
@@ -178,7 +185,7 @@ class Insights:
         ).limit(top).drop("is_anomaly")
 
     def segments(self) -> DataFrame:
-        """Cluster profiles and members, with k and silhouette."""
+        """Members with the profile of their cluster, k and silhouette."""
         found = self.segmentation
         return segments.members(found).withColumns({
             "k": F.lit(found.choice.k),
@@ -266,13 +273,12 @@ class Insights:
                 parity_round(F.col("growth_vs_last_pct"), 1).alias("growth"),
             ),
             section(
-                self.segments(), "segments", F.col("cluster"), "k",
+                self.segments(), "segments", F.col("cluster"), "state", "k",
                 parity_round(F.col("silhouette"), 2).alias("silhouette"), "cluster",
                 F.col("n_states").alias("n"),
                 parity_round(100 * F.col("yoy_growth"), 0).alias("yoy"),
                 parity_round(F.col("txns_per_user"), 0).alias("tpu"),
                 parity_round(F.col("avg_ticket"), 0).alias("ticket"),
-                "states",
             ),
             section(
                 state_map_metrics(w), "map", -F.col("txn_amount"), "state", amount,

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="panelwright-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()  # with its scheme, so that tasks and the driver mean the same place
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

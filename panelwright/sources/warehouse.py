@@ -79,17 +79,24 @@ def write_warehouse(warehouse: Warehouse, path: str) -> None:
     tables are independent, so their jobs run side by side.
     """
     def put(name: str) -> None:
-        getattr(warehouse, name).hint("rebalance", "year", "quarter").write.mode("overwrite").partitionBy(
-            "year", "quarter"
-        ).parquet(f"{path.rstrip('/')}/{name}")
+        write_table(getattr(warehouse, name), path, name)
 
     with ThreadPoolExecutor(len(TABLES)) as pool:
         list(pool.map(put, TABLES))
 
 
+def write_table(df: DataFrame, path: str, name: str) -> None:
+    df.hint("rebalance", "year", "quarter").write.mode("overwrite").partitionBy("year", "quarter").parquet(
+        f"{path.rstrip('/')}/{name}"
+    )
+
+
+def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return _typed(spark.read.schema(table_schema(name)).parquet(f"{path.rstrip('/')}/{name}"), name)
+
+
 def open_warehouse(spark: SparkSession, path: str) -> Warehouse:
-    reader = lambda name: spark.read.schema(table_schema(name)).parquet(f"{path.rstrip('/')}/{name}")
-    return Tables(**{name: _typed(reader(name), name) for name in TABLES})
+    return Tables(**{name: open_table(spark, path, name) for name in TABLES})
 
 
 def load_counts(warehouse: Warehouse) -> DataFrame:
