@@ -64,9 +64,6 @@ class QuarterSums:
     quarters: np.ndarray
     sums: np.ndarray
 
-    def rows_before(self, quarter: int | None) -> int:
-        return int(round(self._total(quarter)[0, 0]))
-
     def _total(self, quarter: int | None) -> np.ndarray:
         use = self.quarters < quarter if quarter is not None else np.ones(len(self.quarters), bool)
         return self.sums[use].sum(axis=0)

@@ -100,14 +100,14 @@ def test_too_little_history_is_an_error(rows):
 
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame(
-        [("a", 100.0, 110.0), ("a", 200.0, 180.0), ("a", 300.0, 300.0), ("b", 10.0, 20.0), ("c", 0.0, 0.0), ("d", 5.0, None)],
+        [("a", 50.0, 62.0), ("a", 150.0, 147.0), ("a", 40.0, 40.0), ("b", 8.0, 12.0), ("c", 0.0, 0.0), ("d", 5.0, None)],
         "model string, y_true double, y_pred double",
     )
     got = {r.model: r for r in metrics.summarize(df).collect()}
     a = got["a"]
-    assert a.mae == 10.0 and math.isclose(a.rmse, math.sqrt(500 / 3)) and math.isclose(a.wape, 0.05)
-    assert math.isclose(a.bias, -10 / 3 / 200) and 0 <= a.smape <= 2
-    assert got["b"].bias == 1.0 and got["c"].wape is None and got["c"].smape is None
+    assert a.mae == 5.0 and math.isclose(a.rmse, math.sqrt(153 / 3)) and math.isclose(a.wape, 15 / 240)
+    assert math.isclose(a.bias, 3.0 / 80) and 0 <= a.smape <= 2
+    assert got["b"].bias == 0.5 and got["c"].wape is None and got["c"].smape is None
     assert got["d"].n_scored == 0 and got["d"].mae is None
     worst = metrics.error_by_group(df.withColumnRenamed("model", "state"), "state").collect()
     assert [r.state for r in worst][:2] == ["b", "a"] and worst[0].n == 1

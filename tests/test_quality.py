@@ -29,18 +29,18 @@ def test_clean_warehouse_passes(clean):
     assert not quality.has_failures(checks)
     assert list(quality.summary(checks).first()) == [7, 0, 0]
     text = quality.format_report(checks)
-    assert "48 rows" in text and "balanced panel" in text and "state/national = 1.000" in text
+    assert "all 7 checks hold" in text and "rows stored: 48" in text and "is 1.000 of the country" in text
 
 
 
 @pytest.mark.parametrize("name,edit,expected", [
-    ("unique transaction grain", lambda d: d.unionByName(d.limit(1)), quality.FAIL),
-    ("no negative txn metrics", lambda d: d.withColumn("txn_amount", F.col("txn_amount") - 6e9), quality.FAIL),
-    ("no null keys", lambda d: d.withColumn("category", F.nullif("category", F.lit("Merchant payments"))), quality.FAIL),
-    ("quarter in 1..4", lambda d: d.withColumn("quarter", F.col("quarter") + 1), quality.FAIL),
-    ("agg_transaction non-empty", lambda d: d.limit(0), quality.FAIL),
-    ("panel completeness", lambda d: d.filter(~((F.col("geo") == "westland") & (F.col("quarter") == 2))), quality.WARN),
-    ("state vs national total", lambda d: d.filter((F.col("level") == "country") | (F.col("geo") == "westland")), quality.WARN),
+    ("one_row_per_cell", lambda d: d.unionByName(d.limit(1)), quality.FAIL),
+    ("figures_not_negative", lambda d: d.withColumn("txn_amount", F.col("txn_amount") - 6e9), quality.FAIL),
+    ("keys_complete", lambda d: d.withColumn("category", F.nullif("category", F.lit("Merchant payments"))), quality.FAIL),
+    ("quarter_valid", lambda d: d.withColumn("quarter", F.col("quarter") + 1), quality.FAIL),
+    ("facts_present", lambda d: d.limit(0), quality.FAIL),
+    ("no_missing_quarters", lambda d: d.filter(~((F.col("geo") == "westland") & (F.col("quarter") == 2))), quality.WARN),
+    ("levels_agree", lambda d: d.filter((F.col("level") == "country") | (F.col("geo") == "westland")), quality.WARN),
 ])
 def test_each_check_notices(spark, clean, name, edit, expected):
     assert status(changed(spark, clean, edit))[name] == expected
