@@ -240,8 +240,13 @@ WORDS, CANDIDATES, SIMILARITY, DENSE = 5, 10, 0.8, 64
 def shingles(text, size: int):
     """Hashes of a text's distinct word shingles (a shorter text: its whole sequence)."""
     words = F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (size - 1)))
-    return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+    def hashed(w):
+        spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (size - 1)))
+        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " "))))
+
+    # bound once: inside a lambda the words would be cut anew for every shingle
+    return F.element_at(F.transform(F.array(words), hashed), 1)
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
