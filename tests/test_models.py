@@ -40,15 +40,22 @@ def test_scores_do_not_depend_on_partitioning(signal_rows):
     assert np.allclose(a, b, atol=1e-9)
 
 
-def test_large_inputs_draw_disjoint_samples(signal_rows):
-    """Few small trees over many rows take the single-draw path."""
+def test_one_sampling_law(signal_rows):
+    """A tree takes each row once at most; few trees over many rows, or all rows in every tree."""
     drawn = signals._samples(signal_rows, 600, trees=3, sample=40, seed=1)
-    assert drawn.count() == drawn.select("period_ord").distinct().count()
+    assert drawn.count() == drawn.select("period_ord", "tree").distinct().count()
     assert all(30 <= r["count"] <= 40 for r in drawn.groupBy("tree").count().collect())
+    whole = signals._samples(signal_rows, 600, trees=4, sample=600, seed=1)
+    assert [r["count"] for r in whole.groupBy("tree").count().collect()] == [600] * 4
     assert signals.anomaly_scores(signal_rows, trees=3, sample=40).agg(F.max("anomaly_score")).first()[0] < 1
     assert signals.anomaly_scores(signal_rows.limit(0)).count() == 0
 
 
+def test_draws_follow_the_binomial():
+    law = signals._binomial(10, 0.3)
+    assert np.isclose(law[0], 0.7**10) and np.isclose(law[-1], 1.0) and signals._binomial(3, 1.0) == [0.0, 0.0, 0.0, 1.0]
+
+
 def brute_silhouette(x, labels):
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     out = []
@@ -163,7 +170,7 @@ def test_model_reads(insights, tmp_path):
     assert insights.forecast_districts(30, "land1").count() == 2
     assert insights.anomalies(5).count() == 5
     clusters = insights.segments().collect()
-    assert sorted(s for r in clusters for s in r.states) == [f"land{i}" for i in range(6)] and clusters[0].k >= 2
+    assert sorted(r.state for r in clusters) == [f"land{i}" for i in range(6)] and clusters[0].k >= 2
     detail = insights.state_detail("land2").first()
     assert len(detail.history) == 15 and detail.forecast.quarter == "2022Q4" and detail.cluster is not None
     assert 0 < len(detail.anomalies) <= 5
