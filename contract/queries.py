@@ -255,6 +255,16 @@ def backtest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- anomalies and segments ----------------------------------------------------------
 
 from_warehouse("behaviour_signals", lambda w: rounded(signals.behaviour_signals(features_of(w)), 9, txn_amount=2, avg_ticket=7))
+
+
+@query
+def signals_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the forest sees."""
+    rows = settle(signals.behaviour_signals(features_of(OrderFacts(spark, sf_dir))))
+    scaled = signals.standard(signals.moments(rows))
+    return rounded(rows.select("state", "period_ord", *[z.alias(s) for s, z in scaled.items()]), 6)
+
+
 from_warehouse("anomaly_scores", lambda w: signals.detect(features_of(w)))
 from_warehouse("anomalies", lambda w: service.Insights(w, CATEGORIES).anomalies())
 from_warehouse("anomaly_report", lambda w: reports.anomaly_report(signals.detect(features_of(w))))
@@ -286,6 +296,32 @@ from_warehouse("state_detail", lambda w: service.Insights(w, CATEGORIES).state_d
 from_warehouse("snapshot", lambda w: service.Insights(w, CATEGORIES).snapshot(), stored=True)
 
 
+def through(sink, spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A frame as it comes back from a sink."""
+    path = scratch_path(spark, "sink")
+    sink(df, path)
+    reader = spark.read.schema(df.schema)
+    return reader.json(path) if sink is sinks.write_json else reader.option("header", True).csv(path)
+
+
+def _sink_query(name: str, sink, build: Callable[[service.Insights], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: through(
+        sink, spark, build(service.Insights(StoredFacts(spark, sf_dir), CATEGORIES))
+    )
+
+
+_sink_query("anomalies_csv", sinks.write_csv, lambda i: i.anomaly_ranking)
+_sink_query("segments_csv", sinks.write_csv, lambda i: i.segments())
+_sink_query("snapshot_json", sinks.write_json, lambda i: i.snapshot())
+
+
+@query
+def segments_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentation with a given number of clusters."""
+    found = segments.segment(settle(panel_of(OrderFacts(spark, sf_dir))), k=3, categories=CATEGORIES)
+    return segments.members(found)
+
+
 # -- ingestion -------------------------------------------------------------------------
 
 def landed(spark: SparkSession, sf_dir: str, *kinds: str, broken: Column | None = None) -> str:
@@ -349,6 +385,13 @@ def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_totals(done.warehouse)
 
 
+@query
+def ingest_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregated leaves only: the other tables exist and are empty."""
+    done = ingest(spark, landed(spark, sf_dir), scratch_path(spark, "warehouse"), datasets=["aggregated"])
+    return load_counts(done.warehouse)
+
+
 def refreshed(spark: SparkSession, sf_dir: str) -> Refreshed:
     """Two arrivals, odd quarters first, each followed by a refresh.
 

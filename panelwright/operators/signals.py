@@ -57,6 +57,20 @@ def behaviour_signals(rows: DataFrame) -> DataFrame:
     return signals.withColumns({s: finite_or_null(F.col(s)) for s in SIGNALS}).dropna(subset=SIGNALS)
 
 
+def moments(rows: DataFrame) -> dict[str, float]:
+    """Count, and mean and population deviation of every signal, from one pass."""
+    return rows.agg(
+        F.count("*").alias("n"),
+        *[F.avg(s).alias(f"m_{s}") for s in SIGNALS],
+        *[F.stddev_pop(s).alias(f"s_{s}") for s in SIGNALS],
+    ).first().asDict()
+
+
+def standard(spread: dict[str, float]) -> dict[str, Column]:
+    """Signals in deviations from their mean; one that never varies is only centred."""
+    return {s: (F.col(s) - spread[f"m_{s}"]) / (spread[f"s_{s}"] or 1.0) for s in SIGNALS}
+
+
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) fixed by its arguments, whatever the partitioning."""
     mask = (1 << 53) - 1
@@ -144,19 +158,15 @@ def anomaly_scores(
 ) -> DataFrame:
     """Signals with ``anomaly_score`` in (0, 1) and ``is_anomaly`` for the top share of rows."""
     rows = settle(signals)
-    spread = rows.agg(
-        F.count("*").alias("n"),
-        *[F.avg(s).alias(f"m_{s}") for s in SIGNALS],
-        *[F.stddev_pop(s).alias(f"s_{s}") for s in SIGNALS],
-    ).first()
+    spread = moments(rows)
     n = spread["n"]
     blank = {"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean")}
     if n == 0:
         return rows.withColumns(blank)
-    standard = {s: (F.col(s) - spread[f"m_{s}"]) / (spread[f"s_{s}"] or 1.0) for s in SIGNALS}
+    scaled = standard(spread)
     size = min(sample, n)
     limit = math.ceil(math.log2(max(size, 2)))
-    points = rows.select("state", "period_ord", *[z.alias(s) for s, z in standard.items()])
+    points = rows.select("state", "period_ord", *[z.alias(s) for s, z in scaled.items()])
     sampled = _samples(points, n, trees, size, seed)
     nodes = (
         sampled.groupBy("tree")
@@ -184,7 +194,7 @@ def anomaly_scores(
                 total += depth[at]
             yield pd.Series(np.exp2(-total / len(shared.value) / scale))
 
-    scored = settle(rows.withColumn("anomaly_score", score(*standard.values())))
+    scored = settle(rows.withColumn("anomaly_score", score(*scaled.values())))
     edge = exact_quantiles(scored, "anomaly_score", [1.0 - contamination]).select("q0").scalar()
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > edge)
 

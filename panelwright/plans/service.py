@@ -136,6 +136,11 @@ class Insights:
     def state_forecasts(self) -> DataFrame:
         return settle(forecast.next_quarter(self.state_panel, self.categories))
 
+    @cached_property
+    def champion_forecasts(self) -> DataFrame:
+        """States' forecasts where ridge isn't asked for."""
+        return settle(forecast.next_quarter(self.state_panel, self.categories, ridge=False))
+
     @cached_property
     def category_forecasts(self) -> DataFrame:
         return settle(forecast.next_quarter(
@@ -197,8 +202,8 @@ class Insights:
         past = state_history(self.warehouse, state).select(
             "quarter_label", scaled(F.col("txn_amount")).alias("value_cr"), F.lit("actual").alias("kind")
         )
-        ahead = self.state_forecast(state).select(
-            F.col("quarter").alias("quarter_label"),
+        ahead = self.champion_forecasts.filter(F.col("entity") == state).select(
+            period_label().alias("quarter_label"),
             scaled(F.col("forecast_champion")).alias("value_cr"),
             scaled(F.col("forecast_lo")).alias("lo"),
             scaled(F.col("forecast_hi")).alias("hi"),
@@ -250,7 +255,7 @@ class Insights:
             )
 
         trend = national_trend(w)
-        ranked = forecast.ranked(self.state_forecasts, ahead)
+        ranked = forecast.ranked(self.champion_forecasts, ahead)
         amount = scaled(F.col("txn_amount")).alias("value_cr")
         parts = [
             section(meta(w), "meta", F.lit(0), "first_quarter", "latest_quarter", "states", "districts_available"),
