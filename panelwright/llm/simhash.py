@@ -171,7 +171,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, dense: in
     """
     masks = [x | y for x, y in combinations(blocks(radius), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select(
+    # few bytes become many keys: dealt out first, as so small a table is read by few tasks
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(parts, "fp").select(
         "fp", F.explode(F.array(*(
             F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)
         ))).alias("k"),
