@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ ORDERS = (1, 2, 3, 4)
 #: Share of a language's letters a script needs for the language to be a candidate there.
 SCRIPT_SHARE = 0.02
 MEMORY = 300_000
+CHUNK = 100_000  # words looked up together; texts stay whole
 #: A text in which no language scores this much is in none: junk, or a heap of scraps.
 LEAST = 0.25
 
@@ -181,28 +183,40 @@ class Labeller:
         self.memo: dict[str, int] = {}
         self.held = np.empty((1024, len(model.languages)), np.float32)
 
-    def _scores(self, found: list[str]) -> np.ndarray:
+    def _learn(self, found: list[list[str]]) -> None:
+        """Score the words of some texts that are new, together."""
         if len(self.memo) > MEMORY:
             self.memo.clear()
         memo, have = self.memo, len(self.memo)
-        new = [w for w in dict.fromkeys(found) if w not in memo]
-        if new:
-            need = have + len(new)
-            if need > len(self.held):
-                self.held = np.concatenate([self.held[:have], np.empty((need, self.held.shape[1]), np.float32)])
-            self.held[have:need] = np.concatenate(
-                [self.model.score(new[at : at + 20_000]) for at in range(0, len(new), 20_000)]
-            )
-            memo.update(zip(new, range(have, need)))
-        return self.held[np.fromiter(map(memo.__getitem__, found), np.int64, len(found))]
-
-    def __call__(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, score, and spans as (first word, words, language)."""
-        names = self.model.languages
-        found = words(text) if text and names and any(map(str.isalpha, text)) else []
+        new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in memo]
+        need = have + len(new)
+        if need > len(self.held):
+            self.held = np.concatenate([self.held[:have], np.empty((2 * need - have, self.held.shape[1]), np.float32)])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.held[have + at : have + at + len(part)] = self.model.score(part)
+        memo.update(zip(new, range(have, need)))
+
+    def many(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """Language, score, and spans as (first word, words, language) of each text."""
+        out, at = [], 0
+        known = bool(self.model.languages)
+        while at < len(texts):
+            found, size = [], 0
+            while at < len(texts) and size < CHUNK:
+                text = texts[at]
+                found.append(words(text) if text and known and any(map(str.isalpha, text)) else [])
+                size += len(found[-1])
+                at += 1
+            self._learn(found)
+            out.extend(map(self._one, found))
+        return out
+
+    def _one(self, found: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
         if not found:
             return "und", 0.0, []
-        scores = self._scores(found)
+        names = self.model.languages
+        scores = self.held[np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))]
         path = label(scores, self.penalty)
         letters = np.fromiter(map(len, found), np.float64, len(found))
         weight = np.bincount(path, letters, len(names))
@@ -238,7 +252,7 @@ def identify(
     def work(batches):
         judge = Labeller(Model(*shared.value), penalty)
         for batch in batches:
-            said = [judge(t) for t in batch.column(1).to_pylist()]
+            said = judge.many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()),
                  pa.array([[dict(zip(("first", "words", "lang"), s)) for s in x[2]] for x in said], spans)],
@@ -263,7 +277,7 @@ def keep_identified(
     def work(batches):
         judge = Labeller(Model(*shared.value), penalty)
         for batch in batches:
-            said = map(judge, batch.column(at).to_pylist())
+            said = judge.many(batch.column(at).to_pylist())
             yield batch.filter(pa.array([name != "und" and score >= least for name, score, _ in said], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
