@@ -55,7 +55,10 @@ def fingerprints(
 
     def work(batches):
         for batch in batches:
-            fps = [simhash(t.encode("utf-8", "surrogatepass") if t else b"", shingle) for t in batch.column(1).to_pylist()]
+            fps = []
+            for at in range(0, batch.num_rows, 500):  # few texts at a time in Python's own memory
+                for t in batch.slice(at, 500).column(1).to_pylist():
+                    fps.append(simhash(t.encode("utf-8", "surrogatepass") if t else b"", shingle))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.asarray(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
             )
