@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import fresh, lower_ascii, stash
+from panelwright.llm.common import fresh, stash
 from panelwright.llm.components import components
+from panelwright.llm.jaccard import SIMILARITY, WORDS, similar_links
 
 SHINGLE, RADIUS = 4, 4
 SEED = 42
@@ -237,55 +238,15 @@ def near_duplicates(
 
 # -- near duplicates by similarity -------------------------------------------------------
 
-#: A near-duplicate stage: words per shingle, candidate radius, least similarity of shingle sets,
-#: and links of one fingerprint that are all checked (of denser ones, a spanning forest's).
-WORDS, CANDIDATES, SIMILARITY, DENSE = 5, 10, 0.8, 64
-
-
-def shingles(text, size: int):
-    """Hashes of a text's distinct word shingles (a shorter text: its whole sequence)."""
-    words = F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def hashed(w):
-        spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (size - 1)))
-        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " "))))
-
-    # bound once: inside a lambda the words would be cut anew for every shingle
-    return F.element_at(F.transform(F.array(words), hashed), 1)
-
-
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
-                  radius: int = CANDIDATES, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: ids whose fingerprints are within ``radius`` and whose shingle sets are similar enough.
-
-    Of texts with the same fingerprint each is compared with the one of the smallest id, which
-    also stands for them towards other fingerprints. Rows without an id take no part.
-    """
-    rows = stash(fingerprints(docs, id_col, text_col, shingle).where("doc_id is not null").distinct(), "fingerprints")
-    known = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    near = links(known.select("fp"), radius, dense=DENSE)
-    first, second = known.toDF("a", "x"), known.toDF("b", "y")
-    between = near.join(first, "a").join(second, "b").select("x", "y")
-    same = rows.join(known, "fp").where("doc_id <> least").select(F.col("least").alias("x"), F.col("doc_id").alias("y"))
-    pairs = stash(between.unionByName(same), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sets = stash(source.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select(
-        "id", shingles(F.col("t"), shingle).alias("set")), "shingles")
-    both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    return both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(
-        F.col("x").alias("a"), F.col("y").alias("b")
-    )
-
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
-             radius: int = CANDIDATES, similarity: float = SIMILARITY) -> DataFrame:
+             similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest id, with all its columns.
 
+    Near duplicates are texts whose shingle sets are similar enough, and what such links connect.
     Rows without an id stay. Rows that share an id are one document.
     """
-    roots = components(similar_links(docs, id_col, text_col, shingle, radius, similarity))
+    roots = components(similar_links(docs, id_col, text_col, shingle, similarity))
     first = roots.groupBy("root").agg(F.min("node").alias("first"))
     gone_name, = fresh(docs, "_gone")
     gone = roots.join(first, "root").where("node <> first").select(F.col("node").alias(gone_name))
