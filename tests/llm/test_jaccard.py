@@ -76,3 +76,15 @@ def test_twins_in_a_crowd(spark, monkeypatch, large):
     df, want = assert_exact(spark, rows, volume=4000)
     assert len(set(want.values())) == 240  # the crowd itself is below the threshold
     assert {r.doc_id for r in keep_one(df).collect()} == set(want.values())
+
+
+def test_twins_of_one_fingerprint(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(40):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(60)]
+        for last in ("one", "two"):
+            rows.append((len(rows), "the same five words again " * 100 + " ".join([*own, last])))
+    df, want = assert_exact(spark, rows)
+    assert len(set(want.values())) == 40
+    assert {r.doc_id for r in keep_one(df).collect()} == set(want.values())
