@@ -88,3 +88,17 @@ def test_twins_of_one_fingerprint(spark):
     df, want = assert_exact(spark, rows)
     assert len(set(want.values())) == 40
     assert {r.doc_id for r in keep_one(df).collect()} == set(want.values())
+
+
+def test_pairs_around_the_threshold(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows += [(10**6, None), (10**6 + 1, " \t"), (10**6 + 2, "one Two"), (10**6 + 3, "ONE two\n"), (10**6 + 4, "one two three four five")]
+    for k in range(150):
+        base = [f"v{rng.randrange(50_000)}" for _ in range(rng.choice([12, 60, 200, 3000]))]
+        rows.append((2 * 10**6 + 2 * k, " ".join(base)))
+        for at in rng.sample(range(len(base)), max(1, int(len(base) * rng.uniform(0.005, 0.035)))):
+            base[at] = f"x{k}y{at}"
+        rows.append((2 * 10**6 + 2 * k + 1, " ".join(base)))
+    assert_exact(spark, rows, volume=3000)
