@@ -39,6 +39,16 @@ def test_shortcut_is_optimal():
         assert path_score(scores, a, 4.0) == pytest.approx(path_score(scores, b, 4.0))
 
 
+def test_shortcut_leaves_two_languages_without_the_best_one():
+    scores = np.array([[0.0, 7.2, -40.0], [0.0, -40.0, 7.2]])
+    assert label(scores, 8.0).tolist() == viterbi(scores, 8.0).tolist() == [1, 2]
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        scores = rng.normal(size=(rng.integers(2, 8), 4)) * 3.0
+        scores[:, 0] = 0.5 * scores.max(axis=1)
+        assert path_score(scores, label(scores, 4.0), 4.0) == pytest.approx(path_score(scores, viterbi(scores, 4.0), 4.0))
+
+
 def test_spans_of_a_mixed_text(docs, model, spark):
     parts = [docs.where(F.col("lang") == lang).where("length(text) > 600").orderBy("doc_id").first().text for lang in ("en", "de")]
     halves = [" ".join(p.split()[:60]) for p in parts]
