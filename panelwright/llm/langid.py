@@ -33,7 +33,7 @@ ORDERS = (1, 2, 3, 4)
 SCRIPT_SHARE = 0.02
 MEMORY = 300_000
 CHUNK = 100_000  # words looked up together; texts stay whole
-#: A text in which no language scores this much is in none: junk, or a heap of scraps.
+#: A text whose spans fit their own languages no surer than this is in none: junk, or a heap of scraps.
 LEAST = 0.25
 
 # First code points of script ranges, in order (Unicode blocks; letters only matter).
@@ -202,8 +202,11 @@ class Labeller:
             self.held[have + at : have + at + len(part)] = self.model.score(part)
         memo.update(zip(new, range(have, need)))
 
-    def many(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """Language, score, and spans as (first word, words, language) of each text."""
+    def many(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """Language, score, spans as (first word, words, language), and fit of each text.
+
+        The fit is how sure the words are of their own spans' languages, by letters.
+        """
         out, at = [], 0
         known = bool(self.model.languages)
         while at < len(texts):
@@ -217,23 +220,29 @@ class Labeller:
             out.extend(map(self._one, found))
         return out
 
-    def _one(self, found: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
+    @staticmethod
+    def _sure(scores: np.ndarray, path: np.ndarray, lang: int) -> float:
+        """How sure the words labelled with a language are of it, against every other one."""
+        mine = path == lang
+        lead = (scores[mine, lang].astype(np.float64)[:, None] - scores[mine]).sum(axis=0)
+        return float(1.0 / (1.0 + np.exp(-np.clip(np.delete(lead, lang), -30, 30)).sum()))
+
+    def _one(self, found: list[str]) -> tuple[str, float, list[tuple[int, int, str]], float]:
         if not found:
-            return "und", 0.0, []
+            return "und", 0.0, [], 0.0
         names = self.model.languages
         scores = self.held[np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))]
         path = label(scores, self.penalty)
         letters = np.fromiter(map(len, found), np.float64, len(found))
         weight = np.bincount(path, letters, len(names))
         top = int(weight.argmax())
-        mine = path == top
-        lead = (scores[mine, top].astype(np.float64)[:, None] - scores[mine]).sum(axis=0)
-        sure = 1.0 / (1.0 + np.exp(-np.clip(np.delete(lead, top), -30, 30)).sum())
+        share = weight / letters.sum()
+        sure = {k: self._sure(scores, path, k) for k in np.flatnonzero(weight).tolist()}
         cuts = np.flatnonzero(np.diff(path)) + 1
         firsts = np.append(0, cuts)
         sizes = np.diff(np.append(firsts, len(path)))
         spans = [(int(a), int(n), names[path[a]]) for a, n in zip(firsts, sizes)]
-        return names[top], float(weight[top] / letters.sum() * sure), spans
+        return names[top], float(share[top] * sure[top]), spans, float(sum(share[k] * sure[k] for k in sure))
 
 
 SPANS = "array<struct<first: bigint, words: bigint, lang: string>>"
@@ -274,7 +283,8 @@ def keep_identified(
 ) -> DataFrame:
     """The rows whose text is in a known language, with all their columns.
 
-    Rejected are texts without a letter and those in which no language has a score of ``least``.
+    Rejected are texts without a letter and those whose spans fit their languages less than ``least``,
+    however many languages they are in.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))
     at = docs.columns.index(text_col)
@@ -283,6 +293,6 @@ def keep_identified(
         judge = Labeller(Model(*shared.value), penalty)
         for batch in batches:
             said = judge.many(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([name != "und" and score >= least for name, score, _ in said], pa.bool_()))
+            yield batch.filter(pa.array([name != "und" and fit >= least for name, _, _, fit in said], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

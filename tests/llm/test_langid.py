@@ -59,6 +59,18 @@ def test_spans_of_a_mixed_text(docs, model, spark):
     assert sum(s.words for s in spans) == len(words(text)) and len(spans) <= 4
 
 
+def test_texts_in_many_languages_stay(spark):
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = {f"l{k}": ["".join(rng.choice(list(letters[4 * k : 4 * k + 6]), 7)) for _ in range(50)] for k in range(5)}
+    rows = [(k * 100 + i, " ".join(rng.choice(lexicon[lang], 60)), lang) for k, lang in enumerate(lexicon) for i in range(20)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join(" ".join(rng.choice(lexicon[lang], 60)) for lang in lexicon)
+    df = spark.createDataFrame([(1, mixed), (2, "123 ...")], "doc_id long, text string")
+    assert identify(df.where("doc_id = 1"), model).first().score < 0.25
+    assert [r.doc_id for r in keep_identified(df, model).collect()] == [1]
+
+
 def test_edges(spark, docs, model):
     rows = [(1, None, "k"), (2, "", "k"), (3, "123 ... ²", "k"), (4, "the and of", "k"), (4, "the and of", "k"), (None, "der die und " * 20000, "k"), (5, "Привет мир", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
