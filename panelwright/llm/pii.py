@@ -19,9 +19,13 @@ ROUNDS = 8
 _NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:token|secret|api[_-]?key|password|passwd|pwd)[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}",
+    # the whole run, whatever its length or what follows; an address is left to its own kind
+    "secret": r"(?i:token|secret|api[_-]?key|password|passwd|pwd)[ \t]{0,3}+[:=][ \t]{0,3}+[\"']?+"
+              r"(?![A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})[A-Za-z0-9+/_.=-]{8,}+",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}",
+    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+            r"|(?<!::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"
+            r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?!:[0-9A-Fa-f:])(?!\.[0-9])",
     "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.[0-9])",
     "date": r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -31,7 +35,8 @@ PATTERNS = {
 }
 # a sign before a number belongs to a phone only
 _AHEAD = {"phone": r"(?<![\p{L}\p{N}_+])", "ipv4": r"(?<![\p{L}\p{N}_])(?<![0-9]\.)"}
-ANY = "|".join(f"{_AHEAD.get(kind, _NOT_BEFORE)}(?:{p}){_NOT_AFTER}" for kind, p in PATTERNS.items())
+_BEHIND = {"secret": ""}  # a run is taken up to its end
+ANY = "|".join(f"{_AHEAD.get(kind, _NOT_BEFORE)}(?:{p}){_BEHIND.get(kind, _NOT_AFTER)}" for kind, p in PATTERNS.items())
 #: Days of the years 1900 to 2099, 17 x 4297 of them: the domain that dates are permuted in.
 FIRST_DAY, DAY_SIZES = "1900-01-01", (17, 4297)
 
@@ -67,9 +72,14 @@ def _char(digit: Column, like: Column) -> Column:
     ).when((code >= 97) & (code <= 122), F.char(digit + 97)).otherwise(like)
 
 
+def _short(text: Column) -> Column:
+    """A digest in place of a text that is long, as it goes into every place's number."""
+    return F.when(F.length(text) > 2048, F.sha2(text, 256)).otherwise(text)
+
+
 def _stream(key: str, turn: Column, tweak: Column, half: Column, i: Column) -> Column:
     """A keyed pseudo-random number for place ``i``, from the other half of the value."""
-    mac = F.sha2(F.concat_ws("|", F.lit(key), turn.cast("string"), tweak, F.array_join(F.transform(half, lambda d: d.cast("string")), ","), i.cast("string")), 256)
+    mac = F.sha2(F.concat_ws("|", F.lit(key), turn.cast("string"), tweak, half, i.cast("string")), 256)
     return F.conv(F.substring(mac, 1, 12), 16, 10).cast("bigint")
 
 
@@ -84,10 +94,11 @@ def permute(values: Column, sizes: Column, tweak: Column, key: str, sign: int =
 
     def shift(xs: Column, turn: Column) -> Column:
         other = F.when(turn % 2 == 0, half(xs, 1)).otherwise(half(xs, 0))
-        return F.transform(xs, lambda x, i: F.when(
+        other = F.array_join(F.transform(other, lambda d: d.cast("string")), ",")
+        return let(F.struct(_short(other).alias("other"), _short(tweak).alias("tweak")), lambda s: F.transform(xs, lambda x, i: F.when(
             i % 2 == turn % 2,
-            F.pmod(x + sign * F.pmod(_stream(key, turn, tweak, other, i), sizes[i].cast("bigint")), sizes[i].cast("bigint")),
-        ).otherwise(x))
+            F.pmod(x + sign * F.pmod(_stream(key, turn, s["tweak"], s["other"], i), sizes[i].cast("bigint")), sizes[i].cast("bigint")),
+        ).otherwise(x)))
 
     turns = range(ROUNDS) if sign > 0 else range(ROUNDS - 1, -1, -1)
     turns = F.array(*(F.lit(t) for t in turns))
@@ -174,7 +185,9 @@ def valid_kind(m: Column) -> Column:
     n = F.size(digits)
     parts = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
     tests = {
-        "email": F.lit(True), "secret": F.lit(True), "ipv6": F.lit(True),
+        "email": F.lit(True), "secret": F.lit(True),
+        # two colons stand for a group of zeros at least
+        "ipv6": ~F.contains(m, F.lit("::")) | (F.size(F.filter(F.split(m, ":"), lambda x: x != "")) <= 7),
         "iban": let(F.replace(m, F.lit(" "), F.lit("")), lambda x: F.length(x).between(15, 34) & (mod97(x) == 1)),
         "ipv4": F.forall(parts, lambda x: x <= 255),
         "date": _date(m).isNotNull(),

@@ -63,6 +63,30 @@ def test_one_to_one(spark):
     assert len({r.text for r in out}) == 4000 and all(r.kinds == ["date"] for r in out)
 
 
+def test_secrets_of_any_length_and_short_ipv6(spark):
+    run = "aB3dE6gH9k" * 500
+    secrets = [run[:129], run[:150], run[:500], run, run[:60] + "/" + run[:70] + "+" + run[:87] + "-" + run[:100],
+               f"{run[:36]}.{run[3:120]}.{run[5:48]}", run[:40] + "==", run[:40] + "é"]
+    short = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8:1:2:3:4:5::", "::2:3:4:5:6:7:8"]
+    other = ["std::vector Foo::bar", "1:2:3:4::5:6:7:8", "at 12:30:45", "::"]
+    texts = [f'x token="{t}" end' for t in secrets] + [f"from {t}, and {t}: up" for t in short] + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pseudonymise(df, KEY)
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(secrets):
+        assert rows[i].kinds == ["secret"] and len(rows[i].text) == len(texts[i])
+        old, new = t.rstrip("é"), rows[i].text[9 : 9 + len(t.rstrip("é"))]
+        # no piece of it stays in clear, signs stay in place
+        assert not any(old[k : k + 12] == new[k : k + 12] for k in range(len(old) - 11))
+        assert re.sub("[A-Za-z0-9]", "a", old) == re.sub("[A-Za-z0-9]", "a", new)
+    for i, t in enumerate(short, len(secrets)):
+        assert rows[i].kinds == ["ipv6"] * 2 and t not in rows[i].text and len(rows[i].text) == len(texts[i])
+    for i, t in enumerate(other, len(secrets) + len(short)):
+        assert rows[i].text == t and rows[i].kinds == []
+    again = {r.doc_id: r.text for r in pseudonymise(out.select("doc_id", "text"), KEY, undo=True).collect()}
+    assert again == dict(enumerate(texts))
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = pseudonymise(docs, KEY)
