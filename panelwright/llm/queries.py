@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import chat
 from panelwright.llm.bpe import encode_decode
-from panelwright.llm.common import crc_mod, table
+from panelwright.llm.common import crc_mod, stash, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.fim import digests, fill_in_middle, store
 from panelwright.llm.html_extract import extract, train
 from panelwright.llm.langid import fit, identify
 from panelwright.llm.lm import score
@@ -142,3 +143,28 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(body) + CASE WHEN role = 'assistant' THEN 7 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = stash(store(table(spark, sf_dir, "documents")), "frames")
+    return digests(fill_in_middle(frames))
+
+
+ORACLE["op11_fim"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
