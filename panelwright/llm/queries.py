@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from panelwright.llm.fim import digests, fill_in_middle, store
 from panelwright.llm.html_extract import extract, train
 from panelwright.llm.langid import fit, identify
 from panelwright.llm.lm import score
+from panelwright.llm.periodic import collapse, summary
 from panelwright.llm.pii import pseudonymise
 from panelwright.llm.simhash import near_duplicates
 from panelwright.llm.url_filter import judge
@@ -168,3 +170,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
     ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def repeated_tail(words: list[bytes], key) -> list[bytes]:
+    """Words of every tenth document (by id), from some place on repeating what stands there."""
+    n, h = len(words), 1 if key is None else zlib.crc32(str(key).encode())
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(collapse(table(spark, sf_dir, "documents"), rewrite=repeated_tail, with_text=False))
