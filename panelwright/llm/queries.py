@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat
+from panelwright.llm import chat, minhash
 from panelwright.llm.bpe import encode_decode
 from panelwright.llm.common import crc_mod, stash, table
 from panelwright.llm.decontaminate import contamination
@@ -185,3 +185,29 @@ def repeated_tail(words: list[bytes], key) -> list[bytes]:
 @query
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(collapse(table(spark, sf_dir, "documents"), rewrite=repeated_tail, with_text=False))
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 4) - 1], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(ws) - 4, 0) + 2)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM both JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
+  WHERE 100 * m >= 80 * (p.n + q.n - m)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT link.b, reach.c FROM reach JOIN link USING (a)),
+least_id AS (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least_id USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
