@@ -200,10 +200,10 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 4) - 1], ' ') AS s
   FROM w, unnest(range(1, greatest(len(ws) - 4, 0) + 2)) AS u(i) WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (
+shared AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
 link AS (
-  SELECT a, b FROM both JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
+  SELECT a, b FROM shared JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
   WHERE 100 * m >= 80 * (p.n + q.n - m)),
 reach AS (
   SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT link.b, reach.c FROM reach JOIN link USING (a)),
