@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.operators import quality
-from panelwright.schemas import TABLES
+from panelwright.session import settle
 from panelwright.sources import leaves
+from panelwright.sources.folders import Versions
 from panelwright.sources.warehouse import Warehouse, from_tables, load_counts, open_warehouse, write_warehouse
 
 
@@ -41,39 +41,26 @@ def ingest(
     """Rebuild the warehouse at ``out`` from the landing folder.
 
     Tables of datasets left out exist but are empty. Malformed leaves are listed in
-    ``quarantine``. Tables are written next to ``out`` and checked there; with ``strict`` a failed
-    check raises and the tables in place stay as they were.
+    ``quarantine``. Every run writes a version of its own below ``out`` and checks it there; with ``strict`` a
+    failed check raises. Only then is the version published, all tables in one step: until that
+    step, and after a run that broke off anywhere before it, readers find the version before.
     """
     found = leaves.route_files(leaves.discover_files(spark, root, datasets, min_year, max_year))
     if found.isEmpty():
         raise ValueError("no file matches the requested scope")
     bodies = leaves.read_bodies(spark, root, datasets, min_year, max_year)
-    aside = f"{out.rstrip('/')}-{uuid.uuid4().hex}"
+    versions = Versions(spark, out)
+    version = versions.fresh()
+    aside = versions.path(version)
     write_warehouse(from_tables(spark, leaves.parse_tables(bodies)), aside)
     leaves.quarantine(bodies).hint("rebalance").write.parquet(f"{aside}/{QUARANTINE}")
-    checks = quality.run_checks(open_warehouse(spark, aside))
+    stored = open_warehouse(spark, aside)
+    checks = settle(quality.run_checks(stored))
     if strict and quality.has_failures(checks):
         report = quality.format_report(checks)
-        _remove(spark, aside)
+        versions.folders.remove(f"{versions.label}={version}")
         raise QualityError(report)
-    _publish(spark, aside, out)
-    stored = open_warehouse(spark, out)
-    bad = spark.read.schema("rel_path string, reason string").parquet(f"{out.rstrip('/')}/{QUARANTINE}")
-    return IngestResult(stored, load_counts(stored), bad, quality.run_checks(stored))
-
-
-def _publish(spark: SparkSession, aside: str, out: str) -> None:
-    """Put the checked tables in the place of the old ones."""
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    store = path(out).getFileSystem(conf)
-    store.mkdirs(path(out))
-    for name in (*TABLES, QUARANTINE):
-        store.delete(path(f"{out.rstrip('/')}/{name}"), True)
-        if not store.rename(path(f"{aside}/{name}"), path(f"{out.rstrip('/')}/{name}")):
-            raise OSError(f"{name} could not be moved to {out}; it is complete in {aside}")
-    _remove(spark, aside)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    versions.publish(version)
+    versions.tidy()
+    bad = spark.read.schema("rel_path string, reason string").parquet(f"{aside}/{QUARANTINE}")
+    return IngestResult(stored, load_counts(stored), bad, checks)

@@ -117,6 +117,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(relative_path(F.col("path"), root).alias("rel_path"))
 
 
+def list_details(spark: SparkSession, root: str) -> DataFrame:
+    """Routed leaves with the table they feed, their length and file time; bodies are not read."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        .load(f"{root.rstrip('/')}/data")
+        .select(relative_path(F.col("path"), root).alias("rel_path"), "length", F.col("modificationTime").alias("modified"))
+    )
+    known = files.filter(is_leaf(F.col("rel_path"))).withColumns(classify(F.col("rel_path"))).filter(is_routed())
+    return known.select("rel_path", target_table().alias("table_name"), "year", "quarter", "length", "modified")
+
+
 def discover_files(
     spark: SparkSession,
     root: str,

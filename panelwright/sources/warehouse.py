@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import period_key
 from panelwright.schemas import TABLES, table_schema
+from panelwright.sources.folders import Versions
 
 
 class Warehouse:
@@ -96,7 +97,9 @@ def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def open_warehouse(spark: SparkSession, path: str) -> Warehouse:
-    return Tables(**{name: open_table(spark, path, name) for name in TABLES})
+    """The stored tables: the newest published version below ``path``, or tables that lie in ``path`` itself."""
+    at = Versions(spark, path).newest() or path
+    return Tables(**{name: open_table(spark, at, name) for name in TABLES})
 
 
 def load_counts(warehouse: Warehouse) -> DataFrame:
