@@ -13,6 +13,7 @@ encoded once per task, so the cost per word of running text is a dictionary look
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import math
 import re
@@ -32,6 +33,9 @@ MEMORY = 400_000
 #: Words learnt together (texts stay whole).
 CHUNK = 100_000
 
+#: Symbols of a word beyond which merging keeps its pairs in a heap; short words are faster without.
+LONG = 100
+
 # Fixed by the vocabulary's format: the cut into words. White space only separates.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters and digits younger than Unicode 16, which the vocabulary's cutter takes for
@@ -151,6 +155,8 @@ class Codec:
     def merge(self, ids: list[int], log: dict[int, tuple[int, int, int]] | None = None) -> list[int]:
         """Exact merging: always the best-ranked adjacent pair, leftmost first."""
         merges = self.merges
+        if log is None and len(ids) > LONG:
+            return self._merge_long(ids)
         pairs = [merges.get(p) for p in zip(ids, ids[1:])]
         while True:
             found = [p for p in pairs if p is not None]
@@ -167,6 +173,29 @@ class Codec:
             if i < len(pairs):
                 pairs[i] = merges.get((ids[i], ids[i + 1]))
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps: a heap of pairs over a linked list. A pair that has changed since is passed over."""
+        merges, n = self.merges, len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(*found, i) for i, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+        heap = [(rank, i, new) for rank, new, i in heap]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, new = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j])) != (rank, new):
+                continue
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if found := merges.get((new, ids[k])):
+                    heapq.heappush(heap, (found[0], i, found[1]))
+            h = before[i]
+            if h >= 0 and (found := merges.get((ids[h], new))):
+                heapq.heappush(heap, (found[0], h, found[1]))
+        return [t for t in ids if t >= 0]
+
     # -- speculation and verification -----------------------------------------------
 
     def speculate(self, symbols: str) -> list[int]:

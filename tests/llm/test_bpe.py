@@ -52,6 +52,22 @@ def test_word_like_text(pair, text):
     check(pair, text)
 
 
+@pytest.mark.parametrize("text", [
+    "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(200_000)), "a" * 200_000, "na" * 60_000,
+    "ภาษาไทยเป็นภาษาที่มีระดับเสียง" * 1500, "中文分词没有空格" * 4000, "x1" * 500 + "!" * 50_000,
+])
+def test_words_without_end(pair, text):
+    check(pair, text)
+
+
+def test_both_ways_of_merging(pair):
+    codec, rng = pair[0], np.random.default_rng(1)
+    for n in (2, 5, 50, 300):
+        for _ in range(40):
+            base = codec.base("".join(rng.choice(list("abcdehilnorst"), n)))
+            assert codec._merge_long(list(base)) == codec.merge(list(base), {})
+
+
 def test_table(spark, pair):
     texts = [None, "", "The same words", "The same words", "Ünïcode wörds " * 2000, "<|endoftext|>"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
