@@ -199,6 +199,20 @@ ODD = "category LIKE '4%' AND (year * 4 + quarter) % 19 = 1"
 LOST = "level = 'country' AND year > 1994"
 
 
+# Cells that are corrected after they were first loaded, and leaves that are withdrawn.
+CORRECTED = "year = 1997 AND quarter = 2"
+WITHDRAWN = "year = 1996 AND quarter = 1"
+
+
+class CorrectedFacts(OrderFacts):
+    """One quarter's transactions as a correction gives them: every figure doubled."""
+
+    @cached_property
+    def agg_transaction(self) -> DataFrame:
+        rows = OrderFacts(self.spark, self.sf_dir).agg_transaction.filter(CORRECTED)
+        return rows.withColumns({c: F.col(c) * 2 for c in ("txn_count", "txn_amount")})
+
+
 class ThinnedFacts(Warehouse):
     """Facts with holes: states that miss quarters, and districts with few of them."""
 

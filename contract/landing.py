@@ -123,6 +123,13 @@ def write_leaves(leaves: DataFrame, root: str) -> int:
     return leaves.mapInPandas(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def withdraw(spark: SparkSession, root: str, pattern: str) -> int:
+    """Delete the landed leaves that match a glob below ``data``; returns how many."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/{pattern}")
+    store = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(store.delete(status.getPath(), False) for status in store.globStatus(glob))
+
+
 def backdate(spark: SparkSession, root: str, pattern: str, days: int) -> int:
     """Give the landed leaves that match a glob below ``data`` an older file time; returns how many."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contract import landing
-from contract.facts import CATEGORIES, DamagedFacts, OrderFacts, StoredFacts, ThinnedFacts
+from contract.facts import CATEGORIES, CorrectedFacts, DamagedFacts, OrderFacts, StoredFacts, ThinnedFacts
 from panelwright.operators import (
     backtest, features, forecast, growth, intervals, kpis, metrics, outliers, panels, quality, ridge,
     segments, signals,
@@ -26,6 +26,7 @@ from panelwright.session import scratch_path, settle
 from panelwright.schemas import TABLES, feature_columns
 from panelwright.sources import leaves, sinks
 from panelwright.sources.warehouse import Warehouse, load_counts
+from panelwright.streaming.reconcile import reconcile
 from panelwright.streaming.refresh import Refreshed, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +386,12 @@ def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_totals(done.warehouse)
 
 
+@query
+def ingest_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole job, most of it observed while the tables are written."""
+    return rounded(ingest(spark, landed(spark, sf_dir), scratch_path(spark, "warehouse")).checks, 9)
+
+
 @query
 def ingest_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregated leaves only: the other tables exist and are empty."""
@@ -420,6 +427,16 @@ def refresh_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refreshed(spark, sf_dir).quarantine
 
 
+@query
+def refresh_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything lands and is loaded; then one quarter is corrected and user leaves of another are withdrawn."""
+    root, out = landed(spark, sf_dir), scratch_path(spark, "tables")
+    reconcile(spark, root, out)
+    landing.write_leaves(landing.leaf_bodies(CorrectedFacts(spark, sf_dir), ["agg_transaction"]), root)
+    landing.withdraw(spark, root, "map/user/hover/country/*/state/*/1996/1.json")
+    return table_totals(reconcile(spark, root, out).warehouse)
+
+
 def table_totals(w: Warehouse) -> DataFrame:
     """Rows and summed figures of each table, exact to the cent."""
     out = None

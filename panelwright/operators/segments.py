@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import finite_or_null, nan_to_null, over_nonzero, ratio
+from panelwright.operators import kmeans
 from panelwright.schemas import CATEGORIES, share_columns
 from panelwright.session import settle
 
@@ -58,68 +58,54 @@ def state_profiles(panel: DataFrame, recent: int = 4, categories: Sequence[str]
 
 
 def standardised(profiles: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Profiles with a vector of columns scaled by population mean and deviation."""
+    """Profiles with an array ``features`` of columns scaled by population mean and deviation."""
     stats = profiles.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
-    scaled = profiles.withColumns({
-        f"_z{i}": (F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0) for i, c in enumerate(columns)
-    })
-    names = [f"_z{i}" for i in range(len(columns))]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
+    scaled = [(F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0) for i, c in enumerate(columns)]
+    return profiles.withColumn("features", F.array(*scaled))
 
 
-def best_kmeans(
-    points: DataFrame, ks: Sequence[int], seed: int = 42, starts: int = STARTS, parallelism: int = 8
-) -> dict[int, KMeansModel]:
-    """For every k the cheapest of several starts; fits run side by side."""
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        return KMeans(k=job[0], seed=seed + job[1], maxIter=300, tol=1e-4).fit(points)
-
-    jobs = [(k, i) for k in ks for i in range(starts)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        fits = list(zip(jobs, pool.map(fit, jobs)))
-    return {
-        k: min((m for (own, _), m in fits if own == k), key=lambda m: m.summary.trainingCost) for k in ks
-    }
-
-
-def silhouette(labelled: DataFrame) -> float:
+def squared_silhouette(labelled: DataFrame) -> float:
     """Mean silhouette of ``features`` / ``prediction`` under squared Euclidean distance.
 
-    The evaluator's closed form needs the sums of each cluster only: linear, distributed, and
-    the same measure whatever the number of entities.
+    The evaluator's closed form needs the sums of each cluster only.
     """
-    return ClusteringEvaluator(metricName="silhouette").evaluate(labelled)
+    return ClusteringEvaluator(metricName="silhouette").evaluate(labelled.withColumn("features", array_to_vector("features")))
 
 
 @dataclass(frozen=True)
 class Choice:
-    """Chosen number of clusters with the silhouette of every candidate."""
+    """Chosen number of clusters; silhouette of every candidate, by distance and by its square."""
 
     k: int
     scores: dict[int, float] = field(default_factory=dict)
-    model: KMeansModel | None = None
+    squared: dict[int, float] = field(default_factory=dict)
+    model: kmeans.Model | None = None
 
 
 def choose_k(points: DataFrame, n: int, k_range: Sequence[int] = K_RANGE, seed: int = 42) -> Choice:
-    """k with the best silhouette; min(2, n) when no candidate is below ``n``."""
+    """k with the best Euclidean silhouette; min(2, n) when no candidate is below ``n``."""
     candidates = [k for k in k_range if k < n]
     if not candidates:
         return Choice(min(2, n))
 
-    models = best_kmeans(points, candidates, seed)
-    with ThreadPoolExecutor(len(candidates)) as pool:
-        rated = list(pool.map(lambda k: silhouette(models[k].transform(points)), candidates))
-    scores = dict(zip(candidates, rated))
+    models = kmeans.fit_all(points, candidates, STARTS, seed)
+    # every model's labels next to each other: the points are read once for all of them
+    found = settle(points.select("features", *[kmeans.nearest(F.col("features"), m.centres).alias(f"k{k}") for k, m in models.items()]))
+    with ThreadPoolExecutor(2 * len(candidates)) as pool:
+        widths = pool.map(lambda k: kmeans.silhouette(found, label=f"k{k}"), candidates)
+        squares = pool.map(lambda k: squared_silhouette(found.withColumnRenamed(f"k{k}", "prediction")), candidates)
+        scores, squared = dict(zip(candidates, widths)), dict(zip(candidates, squares))
+    scores = {k: -1.0 if v is None else v for k, v in scores.items()}  # a fit that left one cluster
     best = max(scores, key=scores.get)
-    return Choice(best, scores, models[best])
+    return Choice(best, scores, squared, models[best])
 
 
 def choose_k_table(choice: Choice, spark) -> DataFrame:
-    rows = [(k, float(s), k == choice.k) for k, s in choice.scores.items()]
-    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+    rows = [(k, float(s), float(choice.squared[k]), k == choice.k) for k, s in choice.scores.items()]
+    return spark.createDataFrame(rows, "k int, silhouette double, silhouette_squared double, chosen boolean")
 
 
 @dataclass(frozen=True)
@@ -154,11 +140,11 @@ def segment(
     points = standardised(profiles, columns).persist()
     try:
         choice = choose_k(points, n, seed=seed) if k is None else Choice(k)
-        model = choice.model or best_kmeans(points, [choice.k], seed)[choice.k]
-        found = model.transform(points)
+        model = choice.model or kmeans.fit_all(points, [choice.k], STARTS, seed)[choice.k]
+        found = model.predict(points)
         width = choice.scores.get(choice.k)
         if width is None and 1 < choice.k < n:
-            width = silhouette(found)
+            width = kmeans.silhouette(found)
         labelled = settle(_stable_labels(found))
     finally:
         points.unpersist()

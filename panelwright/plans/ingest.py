@@ -15,6 +15,7 @@ from panelwright.sources.warehouse import Warehouse, from_tables, load_counts, o
 
 
 QUARANTINE = "quarantine"
+FACT = "agg_transaction"  # the table that the checks look at
 
 
 class QualityError(RuntimeError):
@@ -52,10 +53,11 @@ def ingest(
     versions = Versions(spark, out)
     version = versions.fresh()
     aside = versions.path(version)
-    write_warehouse(from_tables(spark, leaves.parse_tables(bodies)), aside)
+    parsed = from_tables(spark, leaves.parse_tables(bodies))
+    seen = write_warehouse(parsed, aside, {FACT: quality.row_figures()})
     leaves.quarantine(bodies).hint("rebalance").write.parquet(f"{aside}/{QUARANTINE}")
     stored = open_warehouse(spark, aside)
-    checks = settle(quality.run_checks(stored))
+    checks = settle(quality.run_checks(stored, seen=seen[FACT]))
     if strict and quality.has_failures(checks):
         report = quality.format_report(checks)
         versions.folders.remove(f"{versions.label}={version}")

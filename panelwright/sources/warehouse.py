@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions import period_key
@@ -72,24 +72,28 @@ def from_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Warehou
     )
 
 
-def write_warehouse(warehouse: Warehouse, path: str) -> None:
+def write_warehouse(warehouse: Warehouse, path: str, watch: Mapping[str, Sequence[Column]] | None = None) -> dict[str, dict]:
     """Replace the stored tables.
 
     Files are split by quarter so that period filters prune folders. The rebalance hint lets
     adaptive execution join small partitions and split one that holds most of the rows. The
-    tables are independent, so their jobs run side by side.
+    tables are independent, so their jobs run side by side. Aggregates to ``watch``, by table, are
+    taken of the rows as they are written, and returned.
     """
-    def put(name: str) -> None:
-        write_table(getattr(warehouse, name), path, name)
+    def put(name: str) -> dict:
+        return write_table(getattr(warehouse, name), path, name, (watch or {}).get(name, ()))
 
     with ThreadPoolExecutor(len(TABLES)) as pool:
-        list(pool.map(put, TABLES))
+        return dict(zip(TABLES, pool.map(put, TABLES)))
 
 
-def write_table(df: DataFrame, path: str, name: str) -> None:
-    df.hint("rebalance", "year", "quarter").write.mode("overwrite").partitionBy("year", "quarter").parquet(
-        f"{path.rstrip('/')}/{name}"
-    )
+def write_table(df: DataFrame, path: str, name: str, watch: Sequence[Column] = ()) -> dict:
+    """Store a table; returns the values of the aggregates to ``watch``."""
+    rows, seen = df.hint("rebalance", "year", "quarter"), Observation()
+    if watch:  # behind the shuffle: a task that is repeated does not count twice
+        rows = rows.observe(seen, *watch)
+    rows.write.mode("overwrite").partitionBy("year", "quarter").parquet(f"{path.rstrip('/')}/{name}")
+    return seen.get if watch else {}
 
 
 def open_table(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import normalize_name
-from panelwright.operators import growth, kpis, outliers, panels, segments, signals
+from panelwright.operators import growth, kmeans, kpis, outliers, panels, segments, signals
 from panelwright.operators.features import build_features
 from panelwright.plans import reports, service
 from panelwright.session import settle
@@ -56,8 +56,8 @@ def test_draws_follow_the_binomial():
     assert np.isclose(law[0], 0.7**10) and np.isclose(law[-1], 1.0) and signals._binomial(3, 1.0) == [0.0, 0.0, 0.0, 1.0]
 
 
-def brute_silhouette(x, labels):
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+def brute_silhouette(x, labels, power=1):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1) ** (power / 2)
     out = []
     for i, own in enumerate(labels):
         same = (labels == own).sum()
@@ -84,13 +84,65 @@ def test_silhouette_and_choice_of_k(spark, blobs):
     points = settle(segments.standardised(blobs, segments.profile_columns()))
     choice = segments.choose_k(points, 25)
     assert choice.k == 3 and set(choice.scores) == {2, 3, 4, 5, 6}
-    found = choice.model.transform(points).toPandas()
-    x = np.array([v.toArray() for v in found.features])
+    found = choice.model.predict(points).toPandas()
+    x = np.array(found.features.tolist())
     assert np.isclose(choice.scores[3], brute_silhouette(x, found.prediction.to_numpy()))
+    assert np.isclose(choice.squared[3], brute_silhouette(x, found.prediction.to_numpy(), 2))
     assert segments.choose_k(points.limit(2), 2).k == 2
     assert segments.choose_k_table(choice, spark).filter("chosen").first().k == 3
 
 
+def scattered(spark, n, width=3, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width)) + rng.integers(0, 3, n)[:, None] * 1.5
+    rows = [(f"s{i}", [float(v) for v in p]) for i, p in enumerate(x)]
+    return x, spark.createDataFrame(rows, "state string, features array<double>").repartition(3)
+
+
+def test_all_fits_in_the_same_passes(spark):
+    """Each model is what Lloyd's steps from its own start points give; the cheapest start wins."""
+    x, df = scattered(spark, 60)
+    begin = kmeans.start_points(df, 4, 3, 42, "state", "features")
+    assert begin.shape == (3, 4, 3) and all(len({tuple(p) for p in b}) == 4 for b in begin)
+    fits = kmeans.fit_all(df, [2, 3, 4], starts=3)
+    for k, model in fits.items():
+        ends = []
+        for s in range(3):
+            c = begin[s, :k]
+            for _ in range(300):
+                label = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+                new = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+                moved, c = ((new - c) ** 2).sum(), new
+                if moved <= 1e-4 * x.var(axis=0).mean():
+                    break
+            ends.append((((x[:, None] - c[None]) ** 2).sum(-1).min(1).sum(), c))
+        cost, c = min(ends, key=lambda e: e[0])
+        assert np.isclose(model.cost, cost) and np.allclose(model.centres, c)
+        labels = {r.state: r.prediction for r in model.predict(df).collect()}
+        want = ((x[:, None] - model.centres[None]) ** 2).sum(-1).argmin(1)
+        assert labels == {f"s{i}": int(v) for i, v in enumerate(want)}
+
+
+def test_starts_do_not_depend_on_the_rows_order(spark):
+    _, df = scattered(spark, 40)
+    a, b = (kmeans.start_points(d, 3, 2, 7, "state", "features") for d in (df, df.orderBy("state").coalesce(1)))
+    assert (a == b).all()
+    same = spark.createDataFrame([(f"s{i}", [1.0, 2.0]) for i in range(5)], "state string, features array<double>")
+    assert np.allclose(kmeans.fit_all(same, [2], starts=2)[2].cost, 0)
+
+
+@pytest.mark.parametrize("n, block", [(7, 4096), (36, 10), (1500, 400)])
+def test_silhouette_by_blocks(spark, monkeypatch, n, block):
+    monkeypatch.setattr(kmeans, "BLOCK", block)
+    x, df = scattered(spark, n, seed=n)
+    label = F.when(F.col("state") == "s0", 2).when(F.col("features")[0] > 1, 1).otherwise(0)  # s0 is alone
+    rows = df.withColumn("prediction", label)
+    labels = {r.state: r.prediction for r in rows.collect()}
+    want = brute_silhouette(x, np.array([labels[f"s{i}"] for i in range(n)]))
+    assert np.isclose(kmeans.silhouette(rows), want)
+    assert kmeans.silhouette(df.withColumn("prediction", F.lit(1))) is None
+
+
 def test_segments_partition_the_states(blobs, monkeypatch):
     monkeypatch.setattr(segments, "state_profiles", lambda panel, **_: blobs)
     found = segments.segment(blobs)
