@@ -7,13 +7,14 @@ each change of language costs ``PENALTY``. The language with most letters is the
 
 Most texts are in one language. For them a vectorised test proves that staying with the best
 language is optimal: if no stretch of words gains more than one penalty by going to another
-language, no path with changes can win, because each foreign stretch needs a change. Only the
-other texts take the word-by-word pass.
+language, no path with changes can win, because each foreign stretch needs a change. The others
+take the pass together: their words are laid out in blocks that all advance one word at a time.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from itertools import chain
 
@@ -50,17 +51,26 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
-WORD = re.compile("[^\\W\\d_]+(?:[\u0300-\u036f'\u2019][^\\W\\d_]+)*")
+#: Signs that belong to the letter before them.
+MARKS = "".join(c for c in map(chr, chain(range(0x300, 0x20000), range(0xE0100, 0xE01F0))) if unicodedata.category(c)[0] == "M")
+NEAR = re.compile("[^\\W\\d_]+(?:[\u0300-\u036f'\u2019][^\\W\\d_]+)*[\u0300-\u036f]*")
+WORD = re.compile(f"[^\\W\\d_]+(?:[{MARKS}]+[^\\W\\d_]*|['\u2019][^\\W\\d_]+)*")
+#: Below these there are no marks but the common accents, and a simpler pattern finds the words.
+FAR = re.compile("[\u0483-\u1fff\u20d0-\U000e01ef]")
+#: Words of a block of the joint pass.
+BLOCK = 32
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (NEAR if text.isascii() or not FAR.search(text) else WORD).findall(text)
 
 
-def script(word: str) -> int:
-    """Index of the script of a word's first letter."""
-    return int(_SCRIPT_OF[np.searchsorted(_STARTS, ord(word[0]), "right") - 1])
+def scripts(words: list[str]) -> np.ndarray:
+    """Index of the script of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return _SCRIPT_OF[np.searchsorted(_STARTS, first, "right") - 1]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +108,7 @@ class Model:
         slot, counts = grams(words)
         ends = np.cumsum(counts)
         total = np.add.reduceat(self.table[slot], ends - counts, axis=0)
-        scripts = np.fromiter(map(script, words), np.int64, len(words))
-        fits = self.allowed[scripts]
+        fits = self.allowed[scripts(words)]
         fits[~fits.any(axis=1)] = True  # a script of no language rules nothing out
         # a word's n-grams overlap: temper their joint evidence
         return np.where(fits, total / len(ORDERS), total.min(axis=1, keepdims=True) / len(ORDERS) - 50.0)
@@ -127,7 +136,7 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
                 for at in range(0, len(found), 50_000):
                     part = found[at : at + 50_000]
                     own[:SLOTS] += np.bincount(grams(part)[0], minlength=SLOTS)
-                    own[SLOTS:] += np.bincount([script(w) for w in part], [len(w) for w in part], len(_NAMES)).astype(int)
+                    own[SLOTS:] += np.bincount(scripts(part), [len(w) for w in part], len(_NAMES)).astype(int)
         for lang, own in tally.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -163,8 +172,58 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
-def label(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The same labels; one vectorised test spares texts in one language the pass.
+def viterbi_many(texts: list[np.ndarray], penalty: float = PENALTY, size: int = BLOCK) -> list[np.ndarray]:
+    """``viterbi`` of many texts at once.
+
+    All texts are cut into blocks of ``size`` words. What a block makes of each language it may be entered in
+    is worked out for all blocks together, word by word; these tables are chained along each text, which
+    tells how every block is really entered and, backwards, left. Blanks at the end of a text change nothing.
+    """
+    if not texts:
+        return []
+    k = texts[0].shape[1]
+    counts = np.array([-(-len(t) // size) for t in texts])
+    ends = np.cumsum(counts)
+    scores = np.zeros((int(ends[-1]), size, k))
+    flat = scores.reshape(-1, k)
+    for t, end, n in zip(texts, ends.tolist(), counts.tolist()):
+        flat[(end - n) * size : (end - n) * size + len(t)] = t
+
+    table = np.full((len(scores), k, k), -np.inf)  # block, language before it, language at its end
+    table[:, np.arange(k), np.arange(k)] = 0.0
+    for w in range(size):
+        table = np.maximum(table, table.max(axis=2, keepdims=True) - penalty) + scores[:, w, None, :]
+    enters = np.zeros((len(scores), k))
+    firsts = set((ends - counts).tolist())
+    for b in range(1, len(scores)):
+        if b not in firsts:
+            enters[b] = (enters[b - 1][:, None] + table[b - 1]).max(axis=0)
+
+    best, held = enters, np.empty((size, len(scores), k))
+    for w in range(size):
+        held[w] = best
+        best = np.maximum(best, best.max(axis=1, keepdims=True) - penalty) + scores[:, w]
+    tops = held.argmax(axis=2)
+    came = np.where(held >= held.max(axis=2, keepdims=True) - penalty, np.arange(k), tops[:, :, None])
+    rows = np.arange(len(scores))
+    state = np.broadcast_to(np.arange(k), (len(scores), k))
+    for w in range(size - 1, -1, -1):
+        state = np.take_along_axis(came[w], state, axis=1)
+    leave, back = best.argmax(axis=1), state.tolist()
+    lasts = set((ends - 1).tolist())
+    for b in range(len(scores) - 2, -1, -1):
+        if b not in lasts:
+            leave[b] = back[b + 1][leave[b + 1]]
+    path, now = np.empty((len(scores), size), np.int64), leave
+    for w in range(size - 1, -1, -1):
+        path[:, w] = now
+        now = came[w][rows, now]
+    path = path.ravel()
+    return [path[(end - n) * size : (end - n) * size + len(t)] for t, end, n in zip(texts, ends.tolist(), counts.tolist())]
+
+
+def one_language(scores: np.ndarray, penalty: float = PENALTY) -> int | None:
+    """The language of all words, if a vectorised test proves that no path with changes can win.
 
     Stretches outside the best single language gain at most what their languages do in any stretch.
     Neighbours among them are in different languages, and k in a row take k - 1 changes at
@@ -175,9 +234,15 @@ def label(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     gain = run - run[:, [top]]
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
     low = np.vstack([np.zeros((1, gain.shape[1])), low[:-1]])
-    if np.sort((gain - low).max(axis=0))[-2:].sum() <= penalty:
-        return np.full(len(scores), top)
-    return viterbi(scores, penalty)
+    return top if np.sort((gain - low).max(axis=0))[-2:].sum() <= penalty else None
+
+
+def label(texts: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
+    """Best language per word of each text; only texts that may change language take the pass."""
+    found = [one_language(t, penalty) for t in texts]
+    open_ = [i for i, top in enumerate(found) if top is None]
+    passed = dict(zip(open_, viterbi_many([texts[i] for i in open_], penalty)))
+    return [np.full(len(t), top) if top is not None else passed[i] for i, (t, top) in enumerate(zip(texts, found))]
 
 
 class Labeller:
@@ -217,7 +282,9 @@ class Labeller:
                 size += len(found[-1])
                 at += 1
             self._learn(found)
-            out.extend(map(self._one, found))
+            scores = [self.held[np.fromiter(map(self.memo.__getitem__, f), np.int64, len(f))] for f in found if f]
+            said = zip(scores, label(scores, self.penalty))
+            out.extend(self._one(f, *next(said)) if f else ("und", 0.0, [], 0.0) for f in found)
         return out
 
     @staticmethod
@@ -227,12 +294,8 @@ class Labeller:
         lead = (scores[mine, lang].astype(np.float64)[:, None] - scores[mine]).sum(axis=0)
         return float(1.0 / (1.0 + np.exp(-np.clip(np.delete(lead, lang), -30, 30)).sum()))
 
-    def _one(self, found: list[str]) -> tuple[str, float, list[tuple[int, int, str]], float]:
-        if not found:
-            return "und", 0.0, [], 0.0
+    def _one(self, found: list[str], scores: np.ndarray, path: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]], float]:
         names = self.model.languages
-        scores = self.held[np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))]
-        path = label(scores, self.penalty)
         letters = np.fromiter(map(len, found), np.float64, len(found))
         weight = np.bincount(path, letters, len(names))
         top = int(weight.argmax())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import crc_mod
-from panelwright.llm.langid import fit, identify, keep_identified, label, viterbi, words
+from panelwright.llm.langid import fit, identify, keep_identified, label, viterbi, viterbi_many, words
 
 
 @pytest.fixture(scope="module")
@@ -35,18 +37,43 @@ def test_shortcut_is_optimal():
     for _ in range(300):
         scores = rng.normal(size=(rng.integers(1, 40), 3)) * rng.choice([0.5, 2.0, 6.0])
         scores[:, rng.integers(3)] += rng.choice([0.0, 1.0])
-        a, b = label(scores, 4.0), viterbi(scores, 4.0)
+        a, b = label([scores], 4.0)[0], viterbi(scores, 4.0)
         assert path_score(scores, a, 4.0) == pytest.approx(path_score(scores, b, 4.0))
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n, k = rng.integers(1, 7), rng.integers(1, 4)
+        scores = rng.normal(size=(n, k)) * rng.choice([1.0, 4.0])
+        best = max(path_score(scores, np.array(p), 2.0) for p in product(range(k), repeat=n))
+        assert path_score(scores, viterbi(scores, 2.0), 2.0) == pytest.approx(best)
+        assert path_score(scores, label([scores], 2.0)[0], 2.0) == pytest.approx(best)
+
+
+def test_many_texts_at_once():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 5):
+        texts = [rng.normal(size=(n, k)).astype(np.float32) * 3 for n in (1, 2, 7, 8, 9, 64, 500, 1, 33)]
+        for size in (1, 8, 32):
+            for scores, path in zip(texts, viterbi_many(texts, 4.0, size)):
+                assert path.tolist() == viterbi(scores, 4.0).tolist()
+    assert viterbi_many([]) == []
+
+
+def test_marks_belong_to_their_words():
+    assert words("हिन्दी भाषा ภาษาไทย it's e\u0301te\u0301 'a' don\u2019t") == [
+        "हिन्दी", "भाषा", "ภาษาไทย", "it's", "e\u0301te\u0301", "a", "don\u2019t"]
+
+
 def test_shortcut_leaves_two_languages_without_the_best_one():
     scores = np.array([[0.0, 7.2, -40.0], [0.0, -40.0, 7.2]])
-    assert label(scores, 8.0).tolist() == viterbi(scores, 8.0).tolist() == [1, 2]
+    assert label([scores], 8.0)[0].tolist() == viterbi(scores, 8.0).tolist() == [1, 2]
     rng = np.random.default_rng(9)
     for _ in range(500):
         scores = rng.normal(size=(rng.integers(2, 8), 4)) * 3.0
         scores[:, 0] = 0.5 * scores.max(axis=1)
-        assert path_score(scores, label(scores, 4.0), 4.0) == pytest.approx(path_score(scores, viterbi(scores, 4.0), 4.0))
+        assert path_score(scores, label([scores], 4.0)[0], 4.0) == pytest.approx(path_score(scores, viterbi(scores, 4.0), 4.0))
 
 
 def test_spans_of_a_mixed_text(docs, model, spark):
