@@ -66,14 +66,14 @@ def flagged(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         p = 1 << octave
         last = (n - 2 * p) // p + 1  # boundaries with room for the words at m + P
         shifted = held[p:]
-        whole = len(shifted) // p
-        hit = np.zeros(last, bool)
-        most = min(whole, last)
-        np.any(shifted[: most * p].reshape(most, p) == held[: most * p : p, None], axis=1, out=hit[:most])
-        if whole < last:
-            hit[whole] = (shifted[whole * p :] == held[whole * p]).any()
+        most = min(len(shifted) // p, last)
+        hit = np.zeros((last, p), bool)  # boundary, period
+        hit[:most] = shifted[: most * p].reshape(most, p) == held[: most * p : p, None]
+        rest = shifted[most * p : last * p]
+        if most < last:
+            hit[most, : len(rest)] = rest == held[most * p]
         # agreement over three periods begins anew at two neighbouring boundaries at least
-        pair = hit[:-1] & hit[1:]
+        pair = (hit[:-1] & hit[1:]).any(axis=1)
         if pair.any():
             yield octave, np.flatnonzero(np.append(pair, False) | np.append(False, pair))
         held = _mix(held[: len(held) - p] * np.uint64(0x9E3779B97F4A7C15) + held[p:])
@@ -128,9 +128,11 @@ def fragments(octave: int, tile: int, first: int, size: int, ids: list[int]) ->
     """(period, first, end) of agreement at the boundaries of one tile.
 
     Only agreement over ``P`` words or more to the right of a boundary counts; it is followed ``P`` words
-    to the left and 2 P to the right, so that fragments of one stretch touch, and reach its ends.
+    to the left and 2 P to the right, so that fragments of one stretch touch, and reach its ends. Those
+    that touch within the tile are joined here; what ends within it and is too short for a run goes.
     """
     p, out = 1 << octave, []
+    open_: dict[int, list] = {}  # period: first, end, whether the stretch really begins and ends there
     for m in range(tile * SPAN * p, min((tile + 1) * SPAN * p, size - 2 * p + 1), p):
         at = m - first
         right = z_function(ids[at : at + 4 * p])
@@ -142,10 +144,17 @@ def fragments(octave: int, tile: int, first: int, size: int, ids: list[int]) ->
         ahead = ids[max(0, at - p) : at + 2 * p - 1][::-1]
         left = z_function([*back, -1, *ahead])
         for q in periods:
-            # place m + q - 1 lies so far into ``ahead``
-            spot = len(back) + 1 + (len(ahead) - len(back)) - q
-            out.append((q, m - left[spot], m + min(right[q], 2 * p)))
-    return out
+            before = left[len(ahead) + 1 - q]  # where the words before m + q stand
+            a, b = m - before, m + min(right[q], 2 * p)
+            held = open_.get(q)
+            if held and a <= held[1]:
+                held[1], held[3] = b, right[q] < 2 * p
+            else:
+                if held:
+                    out.append((q, *held))
+                open_[q] = [a, b, before < p, right[q] < 2 * p]
+    out += [(q, *held) for q, held in open_.items()]
+    return [(q, a, b) for q, a, b, begins, ends in out if not (begins and ends) or b - a + q >= max(WORDS, TIMES * q)]
 
 
 def gaps_joined(found: DataFrame, by: list[str | Column]) -> DataFrame:
