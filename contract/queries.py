@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from contract import landing
 from contract.facts import CATEGORIES, CorrectedFacts, DamagedFacts, OrderFacts, StoredFacts, ThinnedFacts
 from panelwright.operators import (
-    backtest, features, forecast, growth, intervals, kpis, metrics, outliers, panels, quality, ridge,
+    backtest, features, forecast, growth, intervals, kmeans, kpis, metrics, outliers, panels, quality, ridge,
     segments, signals,
 )
 from panelwright.operators.boosting import Boosting
@@ -169,7 +169,7 @@ from_warehouse("interval_coverage", lambda w: rounded(intervals.coverage(settle(
 
 
 def _forecast(df: DataFrame) -> DataFrame:
-    return rounded(df, growth_vs_last_pct=6)
+    return rounded(df, growth_vs_last_pct=6, forecast_ridge=0)
 
 
 from_warehouse(
@@ -230,13 +230,13 @@ def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge alone: fitted on all history, applied to the coming quarter."""
     rows = settle(features.features_and_next(settle(panel_of(OrderFacts(spark, sf_dir))), CATEGORIES))
     model = ridge.Ridge(CATEGORIES).fit(rows.filter(~F.col("is_next")))
-    return model.predict(rows.filter("is_next")).select("state", "period_key", "y_pred")
+    return rounded(model.predict(rows.filter("is_next")).select("state", "period_key", "y_pred"), 0)
 
 
 @query
 def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(features_of(OrderFacts(spark, sf_dir)))
-    return ridge.Ridge(CATEGORIES).fit(rows).model.weights(spark)
+    return rounded(ridge.Ridge(CATEGORIES).fit(rows).model.weights(spark), 6)
 
 
 @query
@@ -283,6 +283,17 @@ def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.choose_k_table(segments.choose_k(points, profiles.count()), spark)
 
 
+@query
+def segments_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start points drawn by name for three clusters, and the states nearest to each."""
+    profiles = settle(segments.state_profiles(panel_of(OrderFacts(spark, sf_dir)), categories=CATEGORIES))
+    points = settle(segments.standardised(profiles, segments.profile_columns(CATEGORIES)))
+    centres = kmeans.start_points(points, 3, 1, 42, "state", "features")[0]
+    cluster = kmeans.nearest(F.col("features"), centres)
+    gap = F.least(*[kmeans.squared(F.col("features"), c) for c in centres])
+    return rounded(points.select("state", cluster.alias("cluster"), gap.alias("gap")), 6)
+
+
 @query
 def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = service.Insights(OrderFacts(spark, sf_dir), CATEGORIES).segmentation
