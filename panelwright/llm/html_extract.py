@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +45,7 @@ CLOSED_BY = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
     "tfoot": {"tbody", "tr", "td", "th"},
 }
+_ITEMS = frozenset().union(CLOSED_BY, *CLOSED_BY.values())
 SCOPE = frozenset("html body table ul ol dl article section div main aside nav header footer td th form blockquote".split())
 
 # What page furniture is called, in element names, classes, ids and roles; one stem each.
@@ -54,15 +56,16 @@ FURNITURE = (
 ).split()
 _CONTENT = frozenset("article main content post story entry prose articlebody maincontent".split())
 _STEMS = tuple(x for x in FURNITURE if len(x) > 4)
+# An article or main part is furniture only if it is called one of these; a topic may be called like the others.
+_NO_ARTICLE = ("comment", "repl", "related", "recommend", "advert", "sponsor", "promo", "widget", "popup", "newsletter", "sidebar", "cookie")
 _SHORT = frozenset(FURNITURE) | {"ad", "ads", "navs", "menus", "metas", "forms", "popups"}
 
-# Bounded and possessive, so that broken markup costs no more than sound markup.
+# Possessive, so that broken markup costs no more than sound markup: a quote ends at the next one, however far.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
-    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,1024}+\"|'[^']{0,1024}+'){0,60}+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S
 )
-DEEPEST = 200  # elements nested deeper count as children of the last one that is kept
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -70,6 +73,8 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u2
 def _called(tag: str, names: str) -> str:
     """What an element is called: ``furniture``, ``content`` or nothing of either."""
     tokens = re.split(r"[^a-z0-9]+", f"{tag} {names}")
+    if tag in ("article", "main"):
+        return "furniture" if any(t.startswith(_NO_ARTICLE) for t in tokens) else "content"
     if any(t in _SHORT or t.startswith(_STEMS) for t in tokens):
         return "furniture"
     return "content" if any(t in _CONTENT for t in tokens) else ""
@@ -88,17 +93,30 @@ class Page:
 def parse(source: str) -> Page:
     """A forgiving parser: unclosed and stray tags never lose text."""
     page = Page()
-    stack: list[int] = []
-    opened: set[str] = set()  # names that were ever opened
+    # open elements: node, place of the nearest paragraph or scope, place of the nearest item or scope
+    stack: list[tuple[int, int, int]] = []
+    opened: Counter[str] = Counter()  # names that are open now
+
+    def push(node: int) -> None:
+        tag, here = page.tag[node], len(stack)
+        _, near, item = stack[-1] if stack else (0, 0, 0)
+        stack.append((node, here if tag == "p" or tag in SCOPE else near, here if tag in _ITEMS or tag in SCOPE else item))
+        opened[tag] += 1
+
+    def close(depth: int) -> None:
+        """Close the element at a depth and all within it."""
+        for node, _, _ in stack[depth:]:
+            opened[page.tag[node]] -= 1
+        del stack[depth:]
 
     def add(tag: str, names: str = "", text: str = "") -> int:
-        page.parent.append(stack[-1] if stack else -1)
+        page.parent.append(stack[-1][0] if stack else -1)
         page.tag.append(tag)
         page.names.append(names)
         page.text.append(text)
         return len(page.tag) - 1
 
-    stack.append(add("html"))
+    push(add("html"))
     at, raw = 0, ""
     n = len(source)
     while at < n:
@@ -107,7 +125,7 @@ def parse(source: str) -> Page:
             stop = end.start() if end else n
             if stop > at:
                 add("#text", text=source[at:stop])
-            stack.pop()
+            close(len(stack) - 1)
             at, raw = (end.end() if end else n), ""
             continue
         m = _TOKEN.search(source, at)
@@ -122,28 +140,26 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if slash:
-            if tag not in opened:
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:  # each step closes an element
+                for depth in range(len(stack) - 1, 0, -1):
+                    if page.tag[stack[depth][0]] == tag:
+                        close(depth)
+                        break
             continue
         if tag in BLOCK:  # a block ends an open paragraph, and the inline elements in it
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] == "p":
-                    del stack[depth:]
-                    break
-                if page.tag[stack[depth]] in SCOPE:
-                    break
+            near = stack[-1][1]
+            if page.tag[stack[near][0]] == "p":
+                close(near)
         if tag in CLOSED_BY:
-            for depth in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[depth]]
+            depth = stack[-1][2]
+            while depth > 0:
+                own = page.tag[stack[depth][0]]
                 if own in CLOSED_BY[tag]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if own in SCOPE and own not in ("td", "th"):
                     break
+                depth = stack[depth - 1][2]
         if tag in ("html", "body") and tag in page.tag:
             continue
         said = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(rest)}
@@ -153,9 +169,7 @@ def parse(source: str) -> Page:
         node = add(tag, names)
         if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in RAW or len(stack) < DEEPEST:
-            stack.append(node)
-            opened.add(tag)
+        push(node)
         if tag in RAW:
             raw = tag
     return page

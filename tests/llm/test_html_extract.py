@@ -81,8 +81,24 @@ def test_odd_pages(spark, model):
     assert isinstance(train(df.limit(0)), Model) and isinstance(fit([]), Model)
 
 
+def test_depth_attributes_and_topics(model):
+    """Furniture below hundreds of elements, attributes of any length, topics that are called like furniture."""
+    deep = "<div>" * 400 + "<nav><a href=x>Home</a> <a href=y>Other places to go</a></nav>" + "</div>" * 400
+    wanted = "Head\n" + LONG.strip()
+    assert main_text(f"<body>{deep}<article><h1>Head</h1><p>{LONG}</p></article>{deep}", model) == wanted
+    assert main_text("<div>" * 300 + f"<article><h1>Head</h1><p>{LONG}</p></article>" + "</div>" * 500 + "<footer>Us</footer>", model) == wanted
+    alt = "an attribute > with a sign " * 500
+    many = " ".join(f'data-{i}="{i} > 1"' for i in range(200))
+    for tag in (f'<img alt="{alt}">', f"<span title='{alt}'></span>", f"<img {many}>"):
+        assert main_text(f"<article><h1>Head</h1><p>{tag}{LONG}</p></article>", model) == wanted
+    for name in ("social-science", "form follows", "meta legal", "search-engines"):
+        assert main_text(f'<body><nav>a</nav><article class="{name}"><h1>Head</h1><p>{LONG}</p></article>', model) == wanted
+    assert main_text(f'<main><h1>Head</h1><p>{LONG}</p></main><article class="related-story"><p>Another story, to be read.</p></article>', model) == wanted
+
+
 def test_broken_markup_is_cheap():
     start = time.process_time()
-    for source in ('<a "' * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<p title='>" * 50_000, "<div>" * 50_000 + "x"):
+    for source in ('<a "' * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<p title='>" * 50_000, "<div>" * 50_000 + "x",
+                   "<i><h2>" * 50_000, "<p>" + "<div><i><h2>" * 20_000, "<li><option>" * 30_000, "<a b='" + '"' * 100_000, '<a b="x" ' * 60_000):
         parse(source)
     assert time.process_time() - start < 20
