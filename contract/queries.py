@@ -266,8 +266,12 @@ def signals_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("state", "period_ord", *[z.alias(s) for s, z in scaled.items()]), 6)
 
 
-from_warehouse("anomaly_scores", lambda w: signals.detect(features_of(w)))
-from_warehouse("anomalies", lambda w: service.Insights(w, CATEGORIES).anomalies())
+def _scores(df: DataFrame) -> DataFrame:
+    return rounded(df, 9, txn_amount=2, avg_ticket=7)
+
+
+from_warehouse("anomaly_scores", lambda w: _scores(signals.detect(features_of(w))))
+from_warehouse("anomalies", lambda w: _scores(service.Insights(w, CATEGORIES).anomalies()))
 from_warehouse("anomaly_report", lambda w: reports.anomaly_report(signals.detect(features_of(w))))
 from_warehouse(
     "state_profiles",
@@ -322,7 +326,7 @@ def _sink_query(name: str, sink, build: Callable[[service.Insights], DataFrame])
     )
 
 
-_sink_query("anomalies_csv", sinks.write_csv, lambda i: i.anomaly_ranking)
+_sink_query("anomalies_csv", sinks.write_csv, lambda i: _scores(i.anomaly_ranking))
 _sink_query("segments_csv", sinks.write_csv, lambda i: i.segments())
 _sink_query("snapshot_json", sinks.write_json, lambda i: i.snapshot())
 

@@ -26,7 +26,7 @@ REPORT = [
     "state", "year", "quarter", "txn_amount", "qoq_amt", "user_growth", "value_user_gap", "avg_ticket",
     "anomaly_score", "is_anomaly",
 ]
-_NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
+_NODE = "struct<node: int, feature: int, cut: double, n: int>"
 
 
 def behaviour_signals(rows: DataFrame) -> DataFrame:
@@ -72,9 +72,9 @@ def standard(spread: dict[str, float]) -> dict[str, Column]:
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) fixed by its arguments, whatever the partitioning."""
-    mask = (1 << 53) - 1
-    return F.xxhash64(*parts).bitwiseAND(F.lit(mask)) / F.lit(float(1 << 53))
+    """A number in [0, 1) fixed by its arguments, whatever the partitioning, and the same in any engine with md5."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def _binomial(n: int, p: float) -> list[float]:
@@ -109,7 +109,7 @@ def _samples(rows: DataFrame, n: int, trees: int, sample: int, seed: int) -> Dat
     first = F.floor(draw("first") * trees).cast("int")
     picks = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.pmod(first + i * stride, F.lit(trees)))
     drawn = rows.withColumn("_many", many).filter("_many > 0").withColumn("tree", F.explode(picks)).drop("_many")
-    order = F.xxhash64("state", "period_ord", F.lit(seed + 1), "tree")
+    order = _uniform(F.lit(f"place {seed}"), F.col("tree"), *row)
     place = F.row_number().over(Window.partitionBy("tree").orderBy(order, "state", "period_ord"))
     return drawn.withColumn("place", place).filter(F.col("place") <= sample)
 
@@ -122,31 +122,39 @@ def _mean_depth(m: np.ndarray) -> np.ndarray:
     return np.where(m <= 1, 0.0, np.where(m == 2, 1.0, full))
 
 
-def _grow(pdf: pd.DataFrame, seed: int, limit: int) -> pd.DataFrame:
-    """One random tree over a sample, as a node table. Leaves have ``feature`` -1."""
-    tree = int(pdf["tree"].iloc[0])
-    points = pdf.sort_values("place")[SIGNALS].to_numpy(dtype=float)
-    rng = np.random.default_rng([seed, tree])
-    nodes: list[list] = []
-    todo = [(0, np.arange(len(points)), 0)]
-    nodes.append([])
-    while todo:
-        at, held, depth = todo.pop()
-        part = points[held]
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(usable) == 0:
-            nodes[at] = [tree, at, -1, 0.0, -1, -1, depth + float(_mean_depth(len(held)))]
-            continue
-        feature = int(rng.choice(usable))
-        cut = rng.uniform(low[feature], high[feature])
-        cut = low[feature] if cut >= high[feature] else cut  # neighbouring doubles
-        goes_left = part[:, feature] <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [[], []]
-        nodes[at] = [tree, at, feature, float(cut), left, right, 0.0]
-        todo += [(left, held[goes_left], depth + 1), (right, held[~goes_left], depth + 1)]
-    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+def _grow(sampled: DataFrame, seed: int, limit: int) -> DataFrame:
+    """``tree, node, feature, cut, n``: all trees, grown level by level. Leaves have ``feature`` -1.
+
+    The children of node ``i`` are ``2 i`` and ``2 i + 1``. A hash of (tree, node) draws the feature, among those
+    that vary in the node, and the cut, between its least and largest value there. Windows over the
+    nodes of a tree find these; a tree's sample lies in one partition and is of fixed size.
+    """
+    node = Window.partitionBy("tree", "node")
+    places = range(len(SIGNALS))
+    rows = sampled.select("tree", F.array(*SIGNALS).alias("x"), F.lit(1).alias("node"), F.lit(False).alias("done"), F.array().cast(f"array<{_NODE}>").alias("trail"))
+    for depth in range(limit + 1):
+        rows = rows.withColumns({
+            "n": F.count("*").over(node).cast("int"),
+            "low": F.array(*[F.min(F.col("x")[i]).over(node) for i in places]),
+            "high": F.array(*[F.max(F.col("x")[i]).over(node) for i in places]),
+        })
+        varied = F.filter(F.array(*map(F.lit, places)), lambda i: F.get("high", i) > F.get("low", i))
+        pick = F.floor(_uniform(F.lit(f"feature {seed}"), F.col("tree"), F.col("node")) * F.size("varied")).cast("int")
+        rows = rows.withColumn("varied", varied if depth < limit else F.array().cast("array<int>")).withColumn(
+            "feature", F.when(F.size("varied") > 0, F.get("varied", pick)).otherwise(-1))
+        low, high = F.get("low", F.col("feature")), F.get("high", F.col("feature"))
+        cut = low + _uniform(F.lit(f"cut {seed}"), F.col("tree"), F.col("node")) * (high - low)
+        # neighbouring doubles
+        rows = rows.withColumn("cut", F.when(F.col("feature") >= 0, F.when(cut >= high, low).otherwise(cut)).otherwise(0.0))
+        own = F.array(F.struct("node", "feature", "cut", "n"))
+        right = (F.get("x", F.col("feature")) > F.col("cut")).cast("int")
+        split = (F.col("feature") >= 0) & ~F.col("done")
+        rows = rows.select(
+            "tree", "x", F.when(split, 2 * F.col("node") + right).otherwise(F.col("node")).alias("node"),
+            (F.col("done") | (F.col("feature") < 0)).alias("done"),
+            F.when(F.col("done"), F.col("trail")).otherwise(F.concat("trail", own)).alias("trail"),
+        )
+    return rows.select("tree", F.inline("trail")).distinct()
 
 
 def anomaly_scores(
@@ -168,15 +176,13 @@ def anomaly_scores(
     limit = math.ceil(math.log2(max(size, 2)))
     points = rows.select("state", "period_ord", *[z.alias(s) for s, z in scaled.items()])
     sampled = _samples(points, n, trees, size, seed)
-    nodes = (
-        sampled.groupBy("tree")
-        .applyInPandas(lambda pdf: _grow(pdf, seed, limit), _NODES)
-        .toPandas()  # at most trees x (2 x sample - 1) nodes
-        .sort_values(["tree", "node"])
-    )
-    forest = [tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
-              for _, t in nodes.groupby("tree")]
-    shared = signals.sparkSession.sparkContext.broadcast(forest)
+    nodes = _grow(sampled, seed, limit).toPandas()  # at most trees x (2 x sample - 1) nodes
+    names = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
+    at = (nodes["tree"].map(names).to_numpy(), nodes["node"].to_numpy())
+    feature, cut, length = (np.full((len(names), 2 << limit), x) for x in (-1, 0.0, 0.0))
+    feature[at], cut[at] = nodes["feature"], nodes["cut"]
+    length[at] = np.floor(np.log2(nodes["node"])) + _mean_depth(nodes["n"])
+    shared = signals.sparkSession.sparkContext.broadcast((feature, cut, length))
     scale = float(_mean_depth(size)) or 1.0
 
     @F.pandas_udf("double")
@@ -185,14 +191,13 @@ def anomaly_scores(
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             total = np.zeros(len(points))
             line = np.arange(len(points))
-            for feature, cut, left, right, depth in shared.value:
-                at = np.zeros(len(points), dtype=int)
+            for feature, cut, length in zip(*shared.value):
+                at = np.ones(len(points), dtype=int)
                 for _ in range(limit):
                     f = feature[at]
-                    step = np.where(points[line, np.maximum(f, 0)] <= cut[at], left[at], right[at])
-                    at = np.where(f >= 0, step, at)
-                total += depth[at]
-            yield pd.Series(np.exp2(-total / len(shared.value) / scale))
+                    at = np.where(f >= 0, 2 * at + (points[line, f] > cut[at]), at)
+                total += length[at]
+            yield pd.Series(np.exp2(-total / len(shared.value[0]) / scale))
 
     scored = settle(rows.withColumn("anomaly_score", score(*scaled.values())))
     edge = exact_quantiles(scored, "anomaly_score", [1.0 - contamination]).select("q0").scalar()
