@@ -20,6 +20,7 @@ from panelwright.operators import (
 )
 from panelwright.operators.boosting import Boosting
 from panelwright.functions import parity_round
+from panelwright.functions.sketches import merged_quantiles, store_sketches, stored_sketches
 from panelwright.plans import reports, service
 from panelwright.plans.ingest import ingest
 from panelwright.session import scratch_path, settle
@@ -225,6 +226,15 @@ def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(predictions.schema).option("header", True).csv(path))
 
 
+@query
+def district_quartiles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of districts' quarterly amounts per state, from stored sketches of single quarters."""
+    path, rows = scratch_path(spark, "sketches"), StoredFacts(spark, sf_dir).map_transaction
+    for half in ("year < 1995", "year >= 1995"):
+        store_sketches(rows.filter(half), "txn_amount", ["state"], path)
+    return rounded(merged_quantiles(stored_sketches(spark, path), [0.25, 0.5, 0.75], ["state"]))
+
+
 @query
 def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge alone: fitted on all history, applied to the coming quarter."""

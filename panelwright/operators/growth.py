@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import over_nonzero, parity_round, period_key, scaled
 from panelwright.functions.quantiles import exact_median
+from panelwright.functions.sketches import quantile, sketched
 from panelwright.operators.kpis import CRORE, at_period, latest_period
 from panelwright.session import settle
 
@@ -34,13 +35,17 @@ def qoq(state_txn_quarter: DataFrame, divisor: float = CRORE) -> DataFrame:
     ).orderBy("state", "year", "quarter")
 
 
-def leaders(state_txn_quarter: DataFrame, n: int = 15, min_quarters: int = 3) -> DataFrame:
-    """States ranked by median growth, so that one lucky spike does not win."""
+def leaders(state_txn_quarter: DataFrame, n: int = 15, min_quarters: int = 3, approximate: bool = False) -> DataFrame:
+    """States ranked by median growth, so that one lucky spike does not win.
+
+    ``approximate`` takes the median of a group from a sketch of fixed size (see ``sketches``).
+    """
+    middle = quantile(sketched("g"), 0.5) if approximate else F.median("g")
     growth = state_txn_quarter.select("state", row_growth("txn_amount").alias("g"))
     return (
         growth.groupBy("state")
         .agg(
-            parity_round(F.median("g"), 1).alias("median_qoq_pct"),
+            parity_round(middle, 1).alias("median_qoq_pct"),
             parity_round(F.min("g"), 1).alias("worst_qoq_pct"),
             F.count("g").alias("quarters_measured"),
         )
