@@ -5,15 +5,17 @@ their sketches, and each of them lies in both sets with the chance of their Jacc
 *union sketch* estimates it; sets of up to ``K`` shingles are their own sketches, and the estimate is exact.
 
 * **Classes.** Texts of equal sets are one class, whatever their number.
-* **Lists.** Every retained hash has the list of classes that retain it. Classes meet in a list of up to ``LARGE``
-  pairwise, at growing distance, those that are connected already left out; the union sketch drops a pair only
-  if a pair of the wanted similarity would look so with a chance below ``MISS`` (never, for small sets).
-* **Hot lists.** A passage of many texts fills lists beyond ``LARGE``. Similar classes that meet in no other
-  list have at least a quarter of their sketches in hot ones (the same bound), so only such classes stay in
-  them. A list that then still is large is one group of candidates.
+* **Lists.** Every one of a sketch's least ``LISTED`` hashes has the list of classes that retain it. Similar sets
+  of up to 155 shingles always share one of these, larger ones but for a chance below ``MISS``. Classes meet in a
+  list of up to ``LARGE`` pairwise, at growing distance, those that are connected already left out; the union sketch
+  drops a pair only if a pair of the wanted similarity would look so with a chance below ``MISS``.
+* **Hot lists.** A passage of many texts fills lists beyond ``LARGE``. Similar classes that meet in no other list
+  share at least a fifth of their listed hashes, all of them hot (the same bound), so only such classes stay
+  in hot lists, with the few least of their hot hashes. A list that then still is large is one group of candidates.
 * **Verification.** Connected candidates are laid out in tiles by size. In tiles, and in pairs of tiles, the union
-  sketch is tried again and the whole sets are compared. A group of many tiles is first compared
-  tile by next tile; what this connects is laid out together and not compared within itself again.
+  sketch is tried again and the whole sets are compared. In a group of many tiles each is first compared within
+  itself and with a few heads of its size; what this connects is laid out together and then compared with the
+  rest of the group only.
 
 Links come out as a spanning forest over checked links.
 """
@@ -34,13 +36,15 @@ from panelwright.llm.components import components
 from panelwright.llm.jaccard import needed, shingle_set
 
 SHINGLE, SIMILARITY = 4, 0.8
-#: Hashes retained of a set.
-K = 64
+#: Hashes retained of a set, and those of them that have lists.
+K, LISTED = 64, 32
 #: Chance that the union sketch drops a pair of exactly the wanted similarity.
 MISS = 1e-12
 LARGE = 256
-#: Shingles of one tile, about; tiles of a group beyond which tiles are first compared with the next one only.
-VOLUME, MANY = 1 << 15, 4
+#: Shingles of one tile, about; tiles of a group beyond which tiles are first compared with heads only; heads.
+VOLUME, MANY, HEADS = 1 << 15, 4, 2
+#: Bitmaps that tell scans which texts are wanted: bits of one, and how many (4 MB in all).
+BITS, BITMAPS = 32768, 1024
 ROWS = 500
 
 
@@ -200,24 +204,30 @@ def _candidates(t: Fraction, k: int):
     return work
 
 
-def candidates(classes: DataFrame, t: Fraction, k: int, large: int = LARGE) -> DataFrame:
+def candidates(classes: DataFrame, t: Fraction, k: int, large: int = LARGE, listed: int = LISTED) -> DataFrame:
     """``node, root`` of classes that may have a similar one: similar classes have the same root."""
-    spots = classes.select("node", "n", F.explode("low").alias("value"))
-    hot = stash(spots.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > large).select("value"), "hot")
-    cold = spots.join(hot, "value", "left_anti")
+    # how many of its listed hashes a class shares with a similar one, and how many suffice to share one
+    enter = int(least_shared(t, listed)[listed])
+    enough = next(h for h in range(1, listed + 1) if h == listed or (1 - float(t)) ** h <= MISS)
+    spots = classes.select("node", "n", F.explode(F.slice("low", 1, listed)).alias("value"))
+    hot = spots.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > large)
+    hot = stash(hot.select("value", F.lit(True).alias("hot")), "hot")
+    told = spots.join(hot, "value", "left")
+    cold = told.where("hot is null").select("value", "n", "node")
     # classes that are hot enough to meet in hot lists alone
-    marked = stash(spots.join(hot, "value", "left_semi"), "marked")
-    enter = marked.groupBy("node", "n").agg(F.count("*").alias("m")).where(4 * F.col("m") >= F.least("n", F.lit(k)))
-    again = stash(marked.join(enter.select("node"), "node", "left_semi"), "entered")
-    still = stash(again.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > large).select("value"), "dense")
-    lists = cold.unionByName(again.join(still, "value", "left_anti")).select("value", "n", "node")
+    marked = told.where("hot").groupBy("node", "n").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    marked = marked.where(F.size("values") * listed >= enter * F.least("n", F.lit(listed)))
+    entered = stash(marked.select("node", "n", F.explode(F.slice("values", 1, enough)).alias("value")), "entered")
+    dense = entered.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > large)
+    dense = stash(dense.select("value", F.lit(True).alias("dense")), "dense")
+    entered = entered.join(dense, "value", "left")
+    lists = cold.unionByName(entered.where("dense is null").select("value", "n", "node"))
     met = stash(lists.repartition("value").sortWithinPartitions("value", "n").mapInArrow(
         _met(t), "value bigint, n bigint, node bigint"), "met")
     tops = classes.select("node", F.expr("transform(low, x -> int(shiftright(x, 32)))").alias("tops")).dropDuplicates(["node"])
     pairs = met.join(tops, "node").select("value", "n", "node", "tops")
     pairs = pairs.repartition("value").sortWithinPartitions("value", "n").mapInArrow(_candidates(t, k), "a bigint, b bigint")
-    whole = again.join(still, "value", "left_semi").select(
-        F.col("node").alias("a"), F.xxhash64(F.lit("list"), "value").alias("b"))
+    whole = entered.where("dense").select(F.col("node").alias("a"), F.xxhash64(F.lit("list"), "value").alias("b"))
     return components(pairs.unionByName(whole))
 
 
@@ -246,14 +256,14 @@ def tile_links(sets: list[np.ndarray], label: np.ndarray, split: int, t: Fractio
 
 
 def _verify(t: Fraction, k: int):
-    """Checked links of rows (own tile, other tile or null)."""
+    """Checked links of rows of one tile, or of two tiles against each other."""
     least = least_shared(t, k)
 
     def work(batches):
         for batch in batches:
             found_a, found_b = [], []
             for r in range(batch.num_rows):
-                tiles = [c[r].values for c in batch.columns if c[r].is_valid]
+                tiles = [c[r].values for c in batch.columns]
                 digest = pa.concat_arrays([x.field("digest") for x in tiles])
                 label = np.concatenate([x.field("label").to_numpy() for x in tiles])
                 sets = [s.values.to_numpy().view(np.uint64) for x in tiles for s in x.field("set")]
@@ -268,11 +278,23 @@ def _verify(t: Fraction, k: int):
     return work
 
 
+def sieve(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among ``wanted(key)``: all that are, and few others while the bitmaps are not full."""
+    bitmaps = wanted.select(F.pmod(F.xxhash64(key), F.lit(BITS * BITMAPS)).alias("_slot")).select(
+        F.expr(f"_slot div {BITS}").alias("_bucket"), (F.col("_slot") % BITS).alias("_bit")
+    ).groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits"))
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS * BITMAPS))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr(f"int(_slot % {BITS} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("_slot", slot).withColumn("_bucket", F.expr(f"_slot div {BITS}")).join(F.broadcast(bitmaps), "_bucket")
+    return told.withColumn("_byte", byte).where("shiftright(_byte, int(_slot % 8)) & 1 = 1").select(*rows.columns)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``digest, set`` of classes, from the texts of their carriers ``wanted(carrier, digest)``."""
-    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark")).alias("carrier"),
-                         F.col(text_col).alias("t"))
-    source = source.join(wanted.select("carrier").distinct(), source.carrier.eqNullSafe(wanted.carrier), "left_semi").select("t")
+    """``digest, set`` of classes, from the texts of their carriers ``wanted(carrier)``."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
+    few = sieve(source, "mark", wanted.select("carrier.mark")).select(F.struct("doc_id", "mark").alias("carrier"), "t")
+    one = wanted.select(F.col("carrier").alias("c")).distinct()
+    few = few.join(one, F.col("carrier").eqNullSafe(F.col("c")), "left_semi").select("t")
 
     def work(batches):
         for batch in batches:
@@ -282,58 +304,71 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, si
                     [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "set"])
 
-    return source.mapInArrow(work, "digest binary, set array<bigint>").dropDuplicates(["digest"])
+    return few.mapInArrow(work, "digest binary, set array<bigint>").dropDuplicates(["digest"])
 
 
-def _tiled(members: DataFrame, sets: DataFrame, kind: Column, t: Fraction, volume: int, label: str) -> DataFrame:
-    """``root, name, own``: tiles of about equal volume. ``name`` is (size band, ``kind``, part)."""
+def _placed(members: DataFrame, kind: Column, t: Fraction, volume: int) -> DataFrame:
+    """``root, name, digest, label``: tiles of about equal volume. A name is (size band, ``kind``, part)."""
     band = F.floor(F.log("n") / F.lit(1.1 * -log(float(t))))
     rows = members.withColumns({"p": band, "k": kind})
     spread = rows.groupBy("root", "p", "k").agg(F.ceil(F.sum("n") / volume).alias("parts"))
     part = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    placed = rows.join(spread, ["root", "p", "k"]).select("root", F.struct("p", "k", part.alias("part")).alias("name"), "digest", F.col(label).alias("label"))
-    return stash(placed.join(sets, "digest").groupBy("root", "name").agg(
-        F.collect_list(F.struct("digest", "label", "set")).alias("own")), "tiles")
+    return stash(rows.join(spread, ["root", "p", "k"]).select(
+        "root", F.struct("p", "k", part.alias("part")).alias("name"), "digest", "label"), "placed")
 
 
-def _paired(tiles: DataFrame, near: DataFrame) -> DataFrame:
-    """Contents of the pairs of tiles ``near(root, na, nb)``."""
-    return (
+def _filled(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``root, name, own``: the contents of tiles."""
+    return placed.join(sets, "digest").groupBy("root", "name").agg(F.collect_list(F.struct("digest", "label", "set")).alias("own"))
+
+
+def _across(placed: DataFrame, sets: DataFrame, near: DataFrame, check) -> DataFrame:
+    """Links between the pairs of tiles ``near(root, na, nb)``; other tiles are not filled."""
+    near = stash(near, "near")
+    named = near.select("root", F.explode(F.array("na", "nb")).alias("name")).distinct()
+    tiles = stash(_filled(placed.join(named, ["root", "name"], "left_semi"), sets), "tiles")
+    pairs = (
         near.join(tiles.select("root", F.col("name").alias("na"), "own"), ["root", "na"])
         .join(tiles.select("root", F.col("name").alias("nb"), F.col("own").alias("other")), ["root", "nb"])
-        .select("own", F.when(F.expr("na <> nb"), F.col("other")).alias("other"))
     )
+    return pairs.select("own", "other").mapInArrow(check, "a binary, b binary")
 
 
 def checked_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str, text_col: str, size: int,
                   t: Fraction, k: int, volume: int = VOLUME, many: int = MANY) -> DataFrame:
     """``a, b``: digests of similar classes of equal root, checked on their whole sets; connects all such classes."""
-    members = classes.join(roots, "node").select("root", "node", "n", "digest", "carrier", F.xxhash64("digest").alias("self"))
+    members = classes.join(roots, "node").select("root", "n", "digest", "carrier", F.xxhash64("digest").alias("label"))
     several = members.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
     members = stash(members.join(several, "root"), "members")
     sets = stash(full_sets(docs, members, id_col, text_col, size), "sets")
-    mixed = F.lit(0).cast("bigint")
-    tiles = _tiled(members, sets, mixed, t, volume, "self")
-    names = tiles.select("root", F.col("name").alias("na"))
+    mixed, check = F.lit(0).cast("bigint"), _verify(t, k)
+    placed = _placed(members, mixed, t, volume)
+    names = placed.select("root", "name").distinct()
     wide = stash(names.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > many).select("root"), "wide")
-    small = names.join(wide, "root", "left_anti")
-    pairs = small.join(small.withColumnRenamed("na", "nb"), "root").where("na <= nb and nb.p - na.p <= 1")
-    broad = names.join(wide, "root", "left_semi")
-    follow = F.struct(F.col("na.p").alias("p"), F.col("na.k").alias("k"), (F.col("na.part") + 1).alias("part"))
-    chain = broad.withColumn("nb", F.col("na")).unionByName(broad.withColumn("nb", follow))
-    links = stash(_paired(tiles, pairs.unionByName(chain)).mapInArrow(_verify(t, k), "a binary, b binary"), "checked")
-
-    # groups of many tiles: what is connected by now lies together, the rest is compared across
-    left = members.join(wide, "root", "left_semi")
+
+    # every tile within itself, those of wide groups together with the heads of their size
+    broad = placed.join(wide, "root", "left_semi")
+    least = F.array_sort(F.collect_set(F.struct(F.xxhash64("digest").alias("h"), "digest", "label")))
+    heads = broad.where("name.part = 0").groupBy("root", "name.p").agg(F.slice(least, 1, HEADS).alias("heads"))
+    shown = broad.select("root", "name", F.col("name.p").alias("p")).distinct().join(heads, ["root", "p"])
+    shown = shown.select("root", "name", F.explode("heads").alias("h")).select("root", "name", "h.digest", "h.label")
+    inner = _filled(placed.unionByName(shown.where("name.part > 0")), sets).select("own").mapInArrow(check, "a binary, b binary")
+    small = names.join(wide, "root", "left_anti").withColumnRenamed("name", "na")
+    pairs = small.join(small.withColumnRenamed("na", "nb"), "root").where("na < nb and nb.p - na.p <= 1")
+    links = stash(inner.unionByName(_across(placed, sets, pairs, check)), "checked")
+
+    # wide groups: what is connected by now lies together, the rest is compared across
+    left = members.join(wide, "root", "left_semi").drop("label")
     joined = components(links).select(F.col("node").alias("digest"), F.xxhash64(F.lit("joined"), "root").alias("label"))
-    left = left.join(joined, "digest", "left").withColumn("label", F.coalesce("label", "self"))
+    left = left.join(joined, "digest", "left").withColumn("label", F.coalesce("label", F.xxhash64("digest")))
     heavy = left.groupBy("root", "label").agg(F.sum("n").alias("v")).where(F.col("v") * 2 > volume).select("root", "label", F.lit(True).alias("heavy"))
     left = left.join(heavy, ["root", "label"], "left")
-    tiles = _tiled(left, sets, F.when(F.col("heavy"), F.col("label")).otherwise(mixed), t, volume, "label")
-    names = tiles.select("root", F.col("name").alias("na"))
-    across = names.join(names.withColumnRenamed("na", "nb"), "root").where(
-        "na <= nb and abs(nb.p - na.p) <= 1 and (na.k = 0 or na.k <> nb.k)")
-    return links.unionByName(_paired(tiles, across).mapInArrow(_verify(t, k), "a binary, b binary"))
+    placed = _placed(left, F.when(F.col("heavy"), F.col("label")).otherwise(mixed), t, volume)
+    names = placed.select("root", F.col("name").alias("na")).distinct()
+    pairs = names.join(names.withColumnRenamed("na", "nb"), "root").where(
+        "na < nb and abs(nb.p - na.p) <= 1 and (na.k = 0 or na.k <> nb.k)")
+    again = _filled(placed.where("name.k = 0"), sets).select("own").mapInArrow(check, "a binary, b binary")
+    return links.unionByName(again).unionByName(_across(placed, sets, pairs, check))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
