@@ -339,6 +339,7 @@ def _sink_query(name: str, sink, build: Callable[[service.Insights], DataFrame])
 _sink_query("anomalies_csv", sinks.write_csv, lambda i: _scores(i.anomaly_ranking))
 _sink_query("segments_csv", sinks.write_csv, lambda i: i.segments())
 _sink_query("snapshot_json", sinks.write_json, lambda i: i.snapshot())
+_sink_query("insight_document", sinks.write_json, lambda i: i.document())
 
 
 @query

@@ -118,10 +118,10 @@ def quantile_bins(df: DataFrame, features: Sequence[str], before: Sequence[int |
         F.array(*[F.lit(k) if p is None else F.when(F.col("period_ord") < p, k) for k, p in enumerate(before)]),
         lambda k: k.isNotNull(),
     )
-    shares = [i / BINS for i in range(1, BINS)]
+    shares = ", ".join(f"{i / BINS}D" for i in range(1, BINS))
     found = df.select("*", F.explode(folds).alias("_fold")).groupBy("_fold").agg(
         F.count("*").alias("_n"), F.avg(LOG_TARGET).alias("_mean"),
-        *[F.percentile_approx(f, shares, 10_000).alias(f) for f in features],
+        *[F.expr(f"percentile_approx(`{f}`, array({shares}), 10000)").alias(f) for f in features],
     ).collect()  # one row a fold
     by_fold = {r["_fold"]: r for r in found}
     if len(by_fold) < len(before):

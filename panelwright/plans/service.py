@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import (
@@ -294,3 +294,44 @@ class Insights:
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
+
+    def document(self, top: int = 10, ahead: int = 12) -> DataFrame:
+        """The same as one nested row: ``sinks.write_json`` makes it one JSON document.
+
+        Its lists hold states, clusters and quarters of the calendar, never facts.
+        """
+        w = self.warehouse
+        trend, ranked, found = national_trend(w), forecast.ranked(self.champion_forecasts, ahead), self.segmentation
+        amount = scaled(F.col("txn_amount")).alias("value_cr")
+
+        def listed(df: DataFrame, rank: Column, *fields: Column | str) -> Column:
+            """Entries by rank, then by their own values."""
+            rows = df.select(rank.alias("rank"), F.struct(*fields).alias("entry"))
+            held = F.array_sort(F.collect_list(F.struct("rank", "entry")))
+            return rows.agg(F.transform(held, lambda e: e["entry"])).scalar()
+
+        clusters = segments.members(found).groupBy("cluster").agg(
+            F.sort_array(F.collect_list("state")).alias("states"),
+            *[F.first(c).alias(c) for c in ("n_states", "yoy_growth", "txns_per_user", "avg_ticket")],
+        )
+        forecasts = listed(
+            ranked, -F.col("forecast_champion"), F.col("entity").alias("state"),
+            scaled(F.col("forecast_champion")).alias("champ_cr"), scaled(F.col("forecast_lo")).alias("lo_cr"),
+            scaled(F.col("forecast_hi")).alias("hi_cr"), parity_round(F.col("growth_vs_last_pct"), 1).alias("growth"),
+        )
+        profile = listed(
+            clusters, F.col("cluster"), "cluster", F.col("n_states").alias("n"),
+            parity_round(100 * F.col("yoy_growth"), 0).alias("yoy"), parity_round(F.col("txns_per_user"), 0).alias("tpu"),
+            parity_round(F.col("avg_ticket"), 0).alias("ticket"), "states",
+        )
+        return w.agg_transaction.sparkSession.range(1).select(
+            meta(w).select(F.struct("first_quarter", "latest_quarter", "states", "districts_available")).scalar().alias("meta"),
+            listed(trend, period_key(), F.col("quarter_label").alias("q"), amount, scaled(F.col("txn_count"), 1e9, 2).alias("count_bn"),
+                   parity_round(F.col("avg_ticket"), 0).alias("ticket")).alias("trend"),
+            listed(category_mix(w), -F.col("pct_value"), "category", parity_round(F.col("pct_value"), 1).alias("pct")).alias("category_mix"),
+            listed(top_states(w, top), -F.col("txn_amount"), "state", amount).alias("top_states"),
+            F.struct(ranked.agg(F.max(period_label())).scalar().alias("quarter"), F.lit(CHAMPION).alias("model"), forecasts.alias("rows")).alias("forecast"),
+            F.struct(F.lit(found.choice.k).alias("k"), parity_round(F.lit(found.silhouette).cast("double"), 2).alias("silhouette"),
+                     profile.alias("clusters")).alias("segments"),
+            listed(state_map_metrics(w), -F.col("txn_amount"), "state", amount, finite_or_null(F.col("yoy_pct")).alias("yoy")).alias("map"),
+        )

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +240,25 @@ def test_model_reads(insights, tmp_path):
         "segments": len(clusters), "map": 6}
 
 
+def test_one_document_holds_what_the_lines_hold(insights, tmp_path):
+    sinks.write_json(insights.document(), str(tmp_path / "document"))
+    files = [p for p in (tmp_path / "document").glob("*.json") if p.stat().st_size]
+    text, = files[0].read_text().splitlines()
+    held, lines = json.loads(text), {}
+    for r in insights.snapshot().collect():
+        lines.setdefault(r.section, []).append((r.rank, json.loads(r.entry)))
+    assert len(files) == 1 and set(held) == set(lines) and held["meta"] == lines["meta"][0][1]
+    for name in ("trend", "category_mix", "top_states", "map"):
+        assert held[name] == [e for _, e in sorted(lines[name], key=lambda x: (x[0], x[1].get("state", "")))]
+    ahead = [{k: v for k, v in e.items() if k not in ("quarter", "model")} for _, e in sorted(lines["forecast"], key=lambda x: x[0])]
+    assert held["forecast"] == {"quarter": "2022Q4", "model": "seasonal_yoy", "rows": ahead}
+    states = {e["state"]: e for _, e in lines["segments"]}
+    assert held["segments"]["k"] == next(iter(states.values()))["k"]
+    for cluster in held["segments"]["clusters"]:
+        assert cluster["n"] == len(cluster["states"])
+        assert all(states[s]["cluster"] == cluster["cluster"] and states[s]["tpu"] == cluster["tpu"] for s in cluster["states"])
+
+
 def test_sql_style_analytics(spark):
     w = fixtures.warehouse(spark)
     s, u = w.state_txn_quarter, w.state_user_quarter
