@@ -244,10 +244,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One document of each group of near duplicates, the one of the smallest id, with all its columns.
 
     Near duplicates are texts whose shingle sets are similar enough, and what such links connect.
-    Rows without an id stay. Rows that share an id are one document.
+    Rows without an id stay. Different texts under one id are judged apart; rows that repeat id and
+    text are one document.
     """
-    roots = components(similar_links(docs, id_col, text_col, shingle, similarity))
+    node, gone_name = fresh(docs, "_node", "_gone")
+    own = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("text"))
+    named = docs.where(F.col(id_col).isNotNull()).select(own.alias(node), F.col(text_col))
+    roots = stash(components(similar_links(named, node, text_col, shingle, similarity)), "roots")
     first = roots.groupBy("root").agg(F.min("node").alias("first"))
-    gone_name, = fresh(docs, "_gone")
     gone = roots.join(first, "root").where("node <> first").select(F.col("node").alias(gone_name))
-    return docs.join(gone, F.col(id_col) == F.col(gone_name), "left_anti")
+    # few rows go: their ids are looked for first, so that no text is digested but theirs
+    return docs.join(gone, (F.col(id_col) == F.col(f"{gone_name}.id")) & (own == F.col(gone_name)), "left_anti")

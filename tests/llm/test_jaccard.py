@@ -102,3 +102,17 @@ def test_pairs_around_the_threshold(spark):
             base[at] = f"x{k}y{at}"
         rows.append((2 * 10**6 + 2 * k + 1, " ".join(base)))
     assert_exact(spark, rows, volume=3000)
+
+
+def test_texts_under_one_id_are_judged_apart(spark):
+    """Clashing, null and repeated ids against brute force over rows."""
+    rng = random.Random(21)
+    texts = {k: " ".join(f"{k}{rng.randrange(900)}" for _ in range(80)) for k in "abcdef"}
+    near = {k: t + " more" for k, t in texts.items()}
+    rows = [(1, texts["a"]), (1, texts["b"]), (0, near["b"]), (5, texts["c"]), (5, texts["c"]), (6, near["c"]),
+            (7, texts["d"]), (7, near["d"]), (None, texts["e"]), (None, texts["e"]), (9, near["e"]), (9, texts["f"]), (2, None), (2, ""), (2, texts["f"])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _node int")
+    kept = sorted(r[2] for r in keep_one(df).collect())
+    # of b the text of id 0 stays; c: both rows of id 5; d: one text of id 7; e: rows without id stay; f: the text of id 2
+    one_d = {6, 7} & set(kept)
+    assert len(one_d) == 1 and set(kept) - one_d == {0, 2, 3, 4, 8, 9, 10, 12, 13, 14}
