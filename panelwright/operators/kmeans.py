@@ -79,7 +79,6 @@ def start_points(points: DataFrame, most: int, starts: int, seed: int, name: str
 
 def lloyd(points: DataFrame, models: list[np.ndarray], features: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One step of all models: counts and sums of every centre's points, and the cost of every model."""
-    owner = np.repeat(np.arange(len(models)), [len(m) for m in models])
     first = np.append(0, np.cumsum([len(m) for m in models]))
     flat = np.concatenate(models)
     width = flat.shape[1] + 1
@@ -105,7 +104,6 @@ def lloyd(points: DataFrame, models: list[np.ndarray], features: str) -> tuple[n
     for r in cells.collect():  # one number for each coordinate of each centre
         out[r.cell] = r.v
     total = out[: len(flat) * width].reshape(len(flat), width)
-    del owner
     return total[:, 0], total[:, 1:], out[len(flat) * width :]
 
 
@@ -122,16 +120,16 @@ def fit_all(points: DataFrame, ks: Sequence[int], starts: int = 10, seed: int =
     centres = {job: begin[job[1], : job[0]] for job in jobs}
     size = len(begin[0, 0])
     spread = rows.agg(*[F.var_pop(F.col(features)[i]) for i in range(size)]).first()
-    limit, moving, cost = still * float(np.mean(spread)), list(jobs), {}
+    limit, moving = still * float(np.mean(spread)), list(jobs)
     for _ in range(steps):
-        counts, sums, costs = lloyd(rows, [centres[j] for j in moving], features)
+        counts, sums, _ = lloyd(rows, [centres[j] for j in moving], features)
         at, left = 0, []
-        for j, c in zip(moving, costs):
+        for j in moving:
             k = len(centres[j])
             n, total = counts[at : at + k, None], sums[at : at + k]
             new = np.where(n > 0, total / np.maximum(n, 1), centres[j])
             moved = float(((new - centres[j]) ** 2).sum())
-            centres[j], cost[j] = new, float(c)
+            centres[j] = new
             at += k
             if moved > limit:
                 left.append(j)
