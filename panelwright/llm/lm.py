@@ -2,9 +2,10 @@
 
 The probability of a word is that of its class given the history, times that of the word within
 its class given the history. Both are softmaxes over sums of hashed features: the word before
-and the one two before (a skip), for classes also the pair of both. Frequent words have classes
-of ``PER_CLASS`` words by rank; all others share one class, in which a word's probability comes
-from its count alone, so that every text has a proper probability.
+and the one two before (a skip), for classes also the pair of both. Every word of a history counts as
+itself, by its own hash, whether known or not. Frequent words have classes of ``PER_CLASS`` words by
+rank; all others share one class, in which the history chooses among ``PER_CLASS`` groups by hash. Only
+within its group does a word's probability come from its count, so that every text has a proper probability.
 
 Training reads all training texts once, in two rounds: a share of ``WARM`` first, then the rest.
 In a round every task takes minibatch gradient steps from the shared weights on its own texts;
@@ -17,11 +18,13 @@ by a join, so no token is left out.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +34,11 @@ from panelwright.llm.common import stash, unit_draw
 CLASSES, PER_CLASS = 32, 32
 HEAD = CLASSES * PER_CLASS  # words with a class of their own, by rank
 KNOWN = 100_000  # tokens whose counts travel as a dictionary
-SLOTS = 1 << 13
+SLOTS = 1 << 15
 WARM, RATE, BATCH, CHUNK = 0.125, 0.15, 16_384, 65_536
 END = b" "  # no word has white space in it
+SEED = 42  # of xxhash64 in SQL
+START = np.uint64(2**64 - 2)  # stands before a text's first word
 BLOCKS = 16
 
 
@@ -51,6 +56,11 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def hashes(words: Iterable[bytes], size: int) -> np.ndarray:
+    """What stands for each word in histories; SQL's ``xxhash64`` gives the same."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, size)
+
+
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[list[list[bytes]]]:
     """Token lists of a batch's texts, some texts at a time."""
     held, size = [], 0
@@ -91,26 +101,39 @@ def token_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def group_of(word: np.ndarray) -> np.ndarray:
+    """Group of a word outside the head, by its hash."""
+    return (word % np.uint64(PER_CLASS)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """The known tokens by rank with their counts, and totals over all tokens."""
+    """The known tokens by rank with their counts, and totals over all tokens.
+
+    ``groups``: (tokens, distinct tokens) by group, over all tokens.
+    """
 
     known: list[bytes]
     counts: np.ndarray
     total: int
     distinct: int
+    groups: np.ndarray | None = None
 
     def __post_init__(self):
         head = self.counts[:HEAD]
         self.rest_total = self.total - int(head.sum())
-        self.rest_distinct = self.distinct - len(head)
+        self.rest = np.zeros((PER_CLASS, 2)) if self.groups is None else np.array(self.groups, float)
+        if self.groups is not None:
+            own = group_of(hashes(self.known[:HEAD], len(head)))
+            self.rest -= np.stack([np.bincount(own, head, PER_CLASS), np.bincount(own, minlength=PER_CLASS)], axis=1)
         # base logits: classes and, within them, words by count; one more class for the rest
         padded = np.zeros(HEAD)
         padded[: len(head)] = head
         by_class = padded.reshape(CLASSES, PER_CLASS)
         self.class_logit = np.log(np.append(by_class.sum(axis=1), self.rest_total) + 1.0).astype(np.float32)
         filled = np.arange(HEAD).reshape(CLASSES, PER_CLASS) < len(head)
-        self.word_logit = np.where(filled, np.log(by_class + 1.0), -60.0).astype(np.float32)
+        logits = np.where(filled, np.log(by_class + 1.0), -60.0)
+        self.word_logit = np.vstack([logits, np.log(self.rest[:, 0] + 1.0)]).astype(np.float32)
 
     def ranks(self, most: int = KNOWN) -> Ranks:
         """Ranks of the ``most`` most frequent tokens."""
@@ -131,7 +154,11 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
         room -= m
     top = counts.where(F.col("n") >= least).collect() if least is not None else []
     top = sorted(((r.n, bytes(r.token)) for r in top), key=lambda x: (-x[0], x[1]))
-    return Vocabulary([t for _, t in top], np.array([n for n, _ in top], np.int64), total, distinct)
+    groups = np.zeros((PER_CLASS, 2), np.int64)
+    by_group = counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(PER_CLASS)).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    for r in by_group.collect():
+        groups[r.g] = r.n, r.m
+    return Vocabulary([t for _, t in top], np.array([n for n, _ in top], np.int64), total, distinct, groups)
 
 
 # -- the model -----------------------------------------------------------------------
@@ -149,11 +176,11 @@ class Weights:
 
 def plain(v: Vocabulary, w: Weights) -> tuple:
     """As values that tasks can read without this package."""
-    return v.known, v.counts, v.total, v.distinct, w.classes, w.words
+    return v.known, v.counts, v.total, v.distinct, v.groups, w.classes, w.words
 
 
 def made(values: tuple) -> tuple[Vocabulary, Weights]:
-    return Vocabulary(*values[:4]), Weights(*values[4:])
+    return Vocabulary(*values[:5]), Weights(*values[5:])
 
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -163,24 +190,25 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * _PRIMES[salt % 4]
     x ^= x >> np.uint64(32)
     x *= _PRIMES[(salt + 1) % 4]
-    return x >> np.uint64(51)  # 13 bits
+    return x >> np.uint64(65 - SLOTS.bit_length())
+
 
+def histories(rank: np.ndarray, ends: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the features (word before, two before, pair) at every position of texts laid end to end (``ends``: last places).
 
-def histories(rank: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Keys of the features (word before, two before, pair) at every position of texts laid end to end (``ends``: last places)."""
-    word = np.where((rank >= 0) & (rank < HEAD), rank, HEAD).astype(np.uint64)
+    ``word``: hashes of the words, so that every word has keys of its own; without them ranks stand for words.
+    """
+    word = rank.astype(np.int64).view(np.uint64) if word is None else word
     start = np.zeros(len(rank), np.int64)
     start[ends[:-1] + 1] = ends[:-1] + 1
     place = np.arange(len(rank)) - np.maximum.accumulate(start)
     back = []
     for k in (1, 2):
-        before = np.empty_like(word)
+        before = np.full_like(word, START)
         before[k:] = word[:-k]
-        before[: min(k, len(word))] = HEAD + 1
-        back.append(np.where(place >= k, before, np.uint64(HEAD + 1)))
+        back.append(np.where(place >= k, before, START))
     one, two = back
-    pair = one * np.uint64(HEAD + 2) + two
-    return np.stack([one, two, pair])
+    return np.stack([one, two, one * _PRIMES[0] + two])
 
 
 def _soft(logits: np.ndarray) -> np.ndarray:
@@ -200,25 +228,28 @@ class Net:
         self.squares = [np.full((SLOTS, 1), 1e-6, np.float32) for _ in range(2)]
 
     def forward(self, table: np.ndarray, base: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-        logits = base + table[slots[0]]
+        logits = base + np.take(table, slots[0], axis=0)
         for s in slots[1:]:
-            logits += table[s]
+            logits += np.take(table, s, axis=0)
         return _soft(logits)
 
     def step(self, which: int, table: np.ndarray, slots: list[np.ndarray], slope: np.ndarray) -> None:
         """One adaptive step: each row by its summed gradient."""
         for s in slots:
-            order = np.argsort(s.astype(np.uint16), kind="stable")  # slots have 13 bits: sorted by counting
+            order = np.argsort(s.astype(np.uint16), kind="stable")  # slots have 16 bits at most: sorted by counting
             own = s[order]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             rows = own[first]
-            gradient = np.add.reduceat(slope[order], first, axis=0)
+            gradient = np.add.reduceat(np.take(slope, order, axis=0), first, axis=0)
             self.squares[which][rows] += np.square(gradient).mean(axis=1, keepdims=True)
             table[rows] -= RATE * gradient / np.sqrt(self.squares[which][rows])
             self.touched[which][rows] += np.diff(np.append(first, len(own)))
 
-    def run(self, rank: np.ndarray, keys: np.ndarray, learn: bool) -> np.ndarray:
-        """Natural log of the modelled part of each token's probability."""
+    def run(self, rank: np.ndarray, keys: np.ndarray, learn: bool, group: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the modelled part of each token's probability.
+
+        For a word outside the head that is its class and, with ``group``, its group in it.
+        """
         v = self.v
         head = (rank >= 0) & (rank < HEAD)
         cls = np.where(head, rank // PER_CLASS, CLASSES)
@@ -229,11 +260,12 @@ class Net:
         if learn:
             p[at, cls] -= 1.0
             self.step(0, self.w.classes, slots, p)
-        inside = np.flatnonzero(head)
+        inside = np.flatnonzero(head) if group is None else at
         if len(inside):
             c = cls[inside]
-            word = rank[inside] % PER_CLASS
-            slots = [_mix(k[inside] * np.uint64(CLASSES) + c.astype(np.uint64), j + 4).astype(np.int64) for j, k in enumerate(keys[:2])]
+            word = rank % PER_CLASS if group is None else np.where(head, rank % PER_CLASS, group)
+            word = word[inside]
+            slots = [_mix(k[inside] * np.uint64(CLASSES + 1) + c.astype(np.uint64), j + 4).astype(np.int64) for j, k in enumerate(keys[:2])]
             p = self.forward(self.w.words, v.word_logit[c], slots)
             at = np.arange(len(inside))
             out[inside] += np.log(np.maximum(p[at, word], 1e-30))
@@ -242,17 +274,21 @@ class Net:
                 self.step(1, self.w.words, slots, p)
         return out
 
-    def pass_over(self, rank: np.ndarray, ends: np.ndarray, learn: bool) -> np.ndarray:
-        keys = histories(rank, ends)
+    def pass_over(self, rank: np.ndarray, ends: np.ndarray, learn: bool, word: np.ndarray | None = None) -> np.ndarray:
+        keys = histories(rank, ends, word)
+        group = None if word is None else group_of(word)
         return np.concatenate([
-            self.run(rank[a : a + BATCH], keys[:, a : a + BATCH], learn) for a in range(0, len(rank), BATCH)
+            self.run(rank[a : a + BATCH], keys[:, a : a + BATCH], learn, None if group is None else group[a : a + BATCH])
+            for a in range(0, len(rank), BATCH)
         ])
 
 
-def _ranked(ranks: Ranks, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(ranks: Ranks, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, last places and hashes of the tokens of texts laid end to end."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    rank = np.fromiter((r for t in texts for r in map(ranks.__getitem__, t)), np.int64, int(sizes.sum()))
-    return rank, np.cumsum(sizes) - 1
+    size = int(sizes.sum())
+    rank = np.fromiter(map(ranks.__getitem__, chain.from_iterable(texts)), np.int64, size)
+    return rank, np.cumsum(sizes) - 1, hashes(chain.from_iterable(texts), size)
 
 
 def train_round(texts: DataFrame, vocabulary: Vocabulary, weights: Weights) -> Weights:
@@ -265,7 +301,8 @@ def train_round(texts: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
         for batch in batches:
             for held in chunks(batch, 0):
                 net = net or Net(v, w)
-                net.pass_over(*_ranked(ranks, held), True)
+                rank, ends, word = _ranked(ranks, held)
+                net.pass_over(rank, ends, True, word)
         if net is None:
             return
         for which, (own, old) in enumerate(((net.w.classes, w.classes), (net.w.words, w.words))):
@@ -337,19 +374,20 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
         v, w = made(shared.value)
         net, ranks = Net(v, w), v.ranks(len(v.known))
         logs = np.append(np.log10(v.counts + 1.0), 0.0)  # the last place stands for unknown tokens
+        units = np.log10(v.rest.sum(axis=1) + 1.0)
         place = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            columns: dict[str, list] = {n: [] for n in ("n", "known", "logs", "model", "rest_logs", "rest", "out", "out_n")}
+            columns: dict[str, list] = {n: [] for n in ("n", "known", "logs", "model", "rest_logs", "out", "out_n")}
             for held in chunks(batch, 2):
-                rank, ends = _ranked(ranks, held)
+                rank, ends, word = _ranked(ranks, held)
                 first = np.append(0, ends[:-1] + 1)
-                model = net.pass_over(rank, ends, False) / np.log(10)
+                model = net.pass_over(rank, ends, False, word) / np.log(10)
                 rest = (rank < 0) | (rank >= HEAD)
                 each = logs[rank]
                 columns["n"] += np.diff(np.append(first, len(rank))).tolist()
                 for name, values in (
                     ("known", (rank >= 0).astype(np.int64)), ("logs", each), ("model", model),
-                    ("rest_logs", np.where(rest, each, 0.0)), ("rest", rest.astype(np.int64)),
+                    ("rest_logs", np.where(rest, each - units[group_of(word)], 0.0)),
                 ):
                     columns[name] += np.add.reduceat(values, first).tolist()
                 for a, words in zip(first.tolist(), held):
@@ -357,7 +395,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                     columns["out"].append(list(unknown))
                     columns["out_n"].append(list(unknown.values()))
             rows = len(columns["n"])
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(place, place + rows)), batch.column(0), batch.column(1)]
                 + [pa.array(c, t) for c, t in zip(columns.values(), types)],
@@ -368,7 +406,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), (~learn).alias("held_out"), F.col(text_col).alias("t")).mapInArrow(
         work,
         f"row bigint, doc_id {kind}, held_out boolean, n bigint, known bigint, logs double, model double, "
-        "rest_logs double, rest bigint, out array<binary>, out_n array<bigint>",
+        "rest_logs double, out array<binary>, out_n array<bigint>",
     ), "lm-rows")
 
     # tokens beyond the dictionary, once per text, meet the full counts
@@ -377,11 +415,10 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
         F.sum("out_n").alias("more"), F.sum(F.col("out_n") * F.log10(F.col("c") + F.lit(1.0))).alias("more_logs")
     )
     base_unit = float(np.log10(v.total + v.distinct + 1))
-    rest_unit = float(np.log10(v.rest_total + v.rest_distinct + 1))
     more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
     return rows.drop("out", "out_n").join(beyond, "row", "left").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + more).alias("n_known"),
         F.lit(v.total).cast("bigint").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n") * base_unit).alias("base_score"),
-        (F.col("model") + F.col("rest_logs") + more_logs - F.col("rest") * rest_unit).alias("score"),
+        (F.col("model") + F.col("rest_logs") + more_logs).alias("score"),
     )

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from panelwright.llm.common import crc_mod
-from panelwright.llm.lm import END, HEAD, Net, Vocabulary, Weights, histories, score, tokens
+from panelwright.llm.lm import END, HEAD, PER_CLASS, Net, Vocabulary, Weights, group_of, hashes, histories, score, tokens
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,47 @@ def test_training_finds_what_follows_what():
     assert after > before + 1.0
 
 
+def test_words_outside_the_head_are_told_apart():
+    """They count as themselves in histories, and the history chooses among their groups."""
+    words = [b"rare %d" % i for i in range(400)]
+    word = hashes(words, 400)
+    unknown, ends = np.full(400, -1), np.array([399])
+    keys = histories(unknown, ends, word)
+    assert len(set(keys[0].tolist())) == 400 and len(set(keys[2].tolist())) == 400
+    assert len(set(histories(np.arange(HEAD, HEAD + 400), ends)[0].tolist())) == 400
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 200, 50_000)
+    text = word[np.stack([a, a + 200], axis=1).ravel()]  # every second word follows from the first
+    rank, ends = np.full(len(text), -1), np.array([len(text) - 1])
+    groups = np.stack([np.bincount(group_of(text), minlength=PER_CLASS), np.bincount(group_of(word), minlength=PER_CLASS)], axis=1)
+    net = Net(Vocabulary([], np.zeros(0, np.int64), len(text), 400, groups), Weights.zero())
+    before = net.pass_over(rank, ends, False, text).mean()
+    net.pass_over(rank, ends, True, text)
+    assert net.pass_over(rank, ends, False, text).mean() > before + 1.0
+
+
+def test_probabilities_of_groups_add_up():
+    words = [b"w%d" % i for i in range(1500)]
+    counts = np.arange(1500, 0, -1)
+    own = group_of(hashes(words, 1500))
+    groups = np.stack([np.bincount(own, counts, PER_CLASS), np.bincount(own, minlength=PER_CLASS)], axis=1)
+    v = Vocabulary(words, counts, int(counts.sum()), 1500, groups)
+    tail = np.bincount(own[HEAD:], counts[HEAD:] + 1, PER_CLASS)
+    assert v.rest.sum(axis=1).tolist() == tail.tolist()  # with 1 for all unseen words, a group's share adds up
+    rng = np.random.default_rng(5)
+    w = Weights.zero()
+    w.classes += rng.normal(size=w.classes.shape)
+    w.words += rng.normal(size=w.words.shape)
+    net = Net(v, w)
+    total = 0.0
+    for rank, group in [*((r, 0) for r in range(HEAD)), *((-1, g) for g in range(PER_CLASS))]:
+        r = np.array([3, 1400, 7, rank])
+        keys = histories(r, np.array([3]), np.array([5, 6, 7, 8], np.uint64))
+        total += np.exp(net.run(r, keys, False, np.array([1, 2, 3, group]))[-1])
+    assert total == pytest.approx(1.0, abs=1e-4)
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "A a\x0bb"), (3, "the END of it " * 20000), (4, "a  b")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
