@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import scratch_path
 
+#: Bitmaps that tell scans which rows are wanted: bits of one (what ``bitmap_construct_agg`` makes), and how many.
+BITS, BITMAPS = 32768, 1024
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,6 +41,26 @@ def unit_draw(key: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / float(1 << 30)
 
 
+def apart(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be in the only column of ``wanted``, and all others, which surely are not.
+
+    ``wanted`` reaches the scan as bitmaps of 4 MB at most, so that wide rows are shuffled for few others than
+    the wanted ones while the bitmaps are not full. Null is a key like any other.
+    """
+    slot, bucket, bits, byte = fresh(rows, "_slot", "_bucket", "_bits", "_byte")
+    bitmaps = stash(
+        wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(BITS * BITMAPS)).alias(slot))
+        .select(F.expr(f"int({slot} div {BITS})").alias(bucket), (F.col(slot) % BITS).alias(byte))
+        .groupBy(bucket).agg(F.expr(f"bitmap_construct_agg({byte})").alias(bits)), "bitmaps",
+    )
+    marked = rows.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(BITS * BITMAPS))).withColumn(bucket, F.expr(f"int({slot} div {BITS})"))
+    marked = marked.join(F.broadcast(bitmaps), bucket, "left")
+    own = F.conv(F.hex(F.substring(F.col(bits), F.expr(f"int({slot} % {BITS} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn(byte, F.coalesce(own, F.lit(0)))
+    hit = F.expr(f"shiftright({byte}, int({slot} % 8)) & 1 = 1")
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Names starting like ``bases`` that no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

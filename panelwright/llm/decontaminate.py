@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import fresh, lower_ascii, stash
+from panelwright.llm.common import apart, fresh, lower_ascii, stash
 
 SPAN, K = 10, 4
 # What ends a word once A-Z are lower-cased: every ASCII character but digits and letters.
@@ -144,7 +144,8 @@ def hits(
     suspects = sizes.where(F.size("fps") > 0).select(
         F.col("doc_id").alias("sid"), F.col("th").alias("sth"), "fps"
     )
-    again = source.join(suspects, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")))
+    again, _ = apart(source, "doc_id", suspects.select("sid"))
+    again = again.join(suspects, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")))
     again = again.select("doc_id", "th", words(F.col("t")).alias("w"), "fps")
     if whole:
         again = _winnowed(again, "m", span, k)
@@ -203,8 +204,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that share no span with any item, with all their columns."""
     _, found = hits(docs, items, id_col, text_col)
     bad_id, bad_th, th = fresh(docs, "_bad", "_bad_th", "_th")
-    bad = found.select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)).distinct()
-    marked = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    bad = stash(found.select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)).distinct(), "contaminated")
+    maybe, rest = apart(docs, id_col, bad.select(bad_id))
+    marked = maybe.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(
         bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(th) == F.col(bad_th)), "left_anti"
-    ).drop(th)
+    ).drop(th).unionByName(rest)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stash, unit_draw
+from panelwright.llm.common import apart, stash, unit_draw
 from panelwright.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -340,7 +340,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["least", "one", "two", "set"])
 
     source = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("t"))
-    sets = source.join(placed.select("least").distinct(), "least", "left_semi").mapInArrow(
+    some, _ = apart(source, "least", placed.select("least"))
+    sets = some.join(placed.select("least").distinct(), "least", "left_semi").mapInArrow(
         cut, f"least {kind}, one bigint, two bigint, set array<bigint>")
     tiles = stash(
         placed.join(sets.dropDuplicates(["least", "one", "two"]), ["least", "one", "two"])

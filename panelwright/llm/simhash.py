@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import fresh, stash
+from panelwright.llm.common import apart, fresh, stash
 from panelwright.llm.components import components
 from panelwright.llm.jaccard import SIMILARITY, WORDS, similar_links
 
@@ -253,5 +253,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     roots = stash(components(similar_links(named, node, text_col, shingle, similarity)), "roots")
     first = roots.groupBy("root").agg(F.min("node").alias("first"))
     gone = roots.join(first, "root").where("node <> first").select(F.col("node").alias(gone_name))
-    # few rows go: their ids are looked for first, so that no text is digested but theirs
-    return docs.join(gone, (F.col(id_col) == F.col(f"{gone_name}.id")) & (own == F.col(gone_name)), "left_anti")
+    # few rows go: their ids are looked for first, so that no text is digested or shuffled but theirs
+    gone = stash(gone, "gone")
+    maybe, rest = apart(docs, id_col, gone.select(f"{gone_name}.id"))
+    return maybe.join(gone, (F.col(id_col) == F.col(f"{gone_name}.id")) & (own == F.col(gone_name)), "left_anti").unionByName(rest)
