@@ -245,8 +245,11 @@ def _forest(t: Fraction):
     return work
 
 
-def candidates(rows: DataFrame, t: Fraction) -> DataFrame:
-    """``node, root`` of texts that may have a similar one: similar texts always have the same root."""
+def candidates(rows: DataFrame, t: Fraction, close: DataFrame | None = None) -> DataFrame:
+    """``node, root`` of texts that may have a similar one: similar texts always have the same root.
+
+    So have texts of one group of ``close(doc_id, group)``, however unlike.
+    """
     spots = rows.select("node", "n", F.posexplode("first").alias("pos", "token")).select(
         "token", F.col("pos").cast("bigint").alias("pos"), "n", "node")
     met = stash(spots.repartition("token").sortWithinPartitions("token").mapInArrow(
@@ -256,7 +259,11 @@ def candidates(rows: DataFrame, t: Fraction) -> DataFrame:
     pairs = pairs.repartition("token").sortWithinPartitions("token").mapInArrow(_forest(t), "a bigint, b bigint")
     # of a large block every row is linked to the block's own node
     whole = met.where("whole").select(F.col("node").alias("a"), F.xxhash64(F.lit("block"), "token").alias("b"))
-    return components(pairs.unionByName(whole))
+    links = pairs.unionByName(whole)
+    if close is not None:
+        links = links.unionByName(rows.select("doc_id", "node").join(close, "doc_id").select(
+            F.col("node").alias("a"), F.xxhash64(F.lit("close"), "group").alias("b")))
+    return components(links)
 
 
 def tile_links(sets: list[np.ndarray], split: int, t: Fraction) -> list[tuple[int, int]]:
@@ -307,15 +314,16 @@ def _verify(t: Fraction):
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS,
-                  similarity: float = SIMILARITY, volume: int = VOLUME) -> DataFrame:
+                  similarity: float = SIMILARITY, volume: int = VOLUME, close: DataFrame | None = None) -> DataFrame:
     """``a, b``: links that connect all ids whose shingle sets are similar enough, and no others.
 
     Rows without an id take no part. Texts of equal sets are linked to the one of the least id.
+    ``close(doc_id, group)``: ids that another method holds for near; they are compared in any case.
     """
     t = Fraction(str(similarity))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = stash(summaries(docs, id_col, text_col, shingle, t), "sets")
-    roots = candidates(rows, t)
+    roots = candidates(rows, t, close)
     found = stash(rows.select("doc_id", "node", "n", "one", "two").join(roots, "node").distinct(), "groups")
     classes = stash(found.groupBy("root", "one", "two", "n").agg(F.min("doc_id").alias("least")), "classes")
     same = found.join(classes, ["root", "one", "two", "n"]).where("doc_id <> least").select(

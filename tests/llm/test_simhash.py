@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import components
-from panelwright.llm.simhash import fingerprints, keep_one, links, near_duplicates, simhash
+from panelwright.llm import jaccard
+from panelwright.llm.simhash import close_texts, fingerprints, keep_one, links, near_duplicates, simhash
 
 
 def by_definition(text: str, k: int = 4) -> int:
@@ -129,3 +130,20 @@ def test_keep_one_of_each_group(spark):
     assert 2000 in kept and 2001 not in kept  # texts without words are alike
     assert sorted(groups_of[i] for i in kept if i is not None and i < 1000) == list(range(30))
     assert keep_one(df.limit(0)).collect() == []
+
+
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    """Without the prefix filter, close texts still meet; unlike ones of one fingerprint stay."""
+    rng = random.Random(12)
+    make = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    base, passage = make(400), "one two three four five " * 200
+    rows = [(1, base), (2, base + " more"), (3, make(300)), (4, passage + make(20)), (5, passage + make(20))]
+    marks = [by_definition(t) for _, t in rows]
+    assert 0 < (marks[0] ^ marks[1]).bit_count() <= 4 and marks[3] == marks[4]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups_found = {}
+    for r in close_texts(df).collect():
+        groups_found.setdefault(r.group, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups_found.values())) == [[1, 2], [4, 5]]
+    monkeypatch.setattr(jaccard, "_met", lambda t: lambda batches: iter(()))
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == [1, 3, 4, 5]
