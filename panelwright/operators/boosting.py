@@ -2,8 +2,8 @@
 
 The library's trees have no such penalty, so the trees are grown here. Features are cut into bins once, by
 quantiles of each fold's own training rows. One pass over the binned rows per level of a tree sums
-gradients and counts per (fold, node, feature, bin); those sums are all that leaves the executors, however
-many rows and folds there are, and decide the splits of every fold. A tree of depth three takes three passes.
+gradients and counts per (fold, node, feature, bin). The sums are added up and the splits of every fold decided
+on the executors; only the splits reach the driver, a few numbers a node. A tree of depth three takes three passes.
 
 Rows stay in blocks on the executors. A block's scores follow from its rows and the trees so far, so a lost
 block is worked out again from the stored rows.
@@ -156,8 +156,8 @@ def _renewed(blocks: RDD, trees: tuple) -> RDD:
     return blocks.map(lambda b: with_trees(b, trees)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _level(blocks: RDD, trees: tuple, split: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    """Sums of a level over all rows."""
+def _level(blocks: RDD, trees: tuple, split: np.ndarray, cut: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best splits of a level over all rows, see ``best_splits``."""
     def own(part: Iterator[Block]) -> list[np.ndarray]:
         total = None
         for block in part:
@@ -165,7 +165,17 @@ def _level(blocks: RDD, trees: tuple, split: np.ndarray, cut: np.ndarray, depth:
             total = sums if total is None else total + sums
         return [] if total is None else [total]
 
-    return blocks.mapPartitions(own).treeReduce(np.add)
+    sums = blocks.mapPartitions(own)
+    if blocks.getNumPartitions() == 1:
+        return sums.map(best_splits).first()
+    folds, nodes = len(split), 1 << depth
+    parts = sums.flatMap(lambda s: [((f, k), s[:, f : f + 1, k : k + 1]) for f in range(folds) for k in range(nodes)])
+    found = dict(parts.reduceByKey(np.add, min(folds * nodes, blocks.getNumPartitions())).mapValues(best_splits).collect())
+    feature, at, sides = (
+        np.concatenate([np.concatenate([found[f, k][i] for k in range(nodes)], axis=fold + 1) for f in range(folds)], axis=fold)
+        for i, fold in enumerate((0, 0, 1))  # the axis of folds in each of the three
+    )
+    return feature, at, sides
 
 
 def fit_folds(df: DataFrame, features: Sequence[str], before: Sequence[int | None], rounds: int = ROUNDS) -> Trees:
@@ -180,8 +190,8 @@ def fit_folds(df: DataFrame, features: Sequence[str], before: Sequence[int | Non
             fresh = []
         split, cut = np.full((folds, inner), -1), np.zeros((folds, inner), np.int64)
         for depth in range(DEPTH):
-            sums = _level(held[-1], tuple(fresh), split, cut, depth)
-            split[:, (1 << depth) - 1 : (2 << depth) - 1], cut[:, (1 << depth) - 1 : (2 << depth) - 1], sides = best_splits(sums)
+            own = slice((1 << depth) - 1, (2 << depth) - 1)
+            split[:, own], cut[:, own], sides = _level(held[-1], tuple(fresh), split, cut, depth)
         for older in held[:-1]:
             older.unpersist()
         del held[:-1]

@@ -113,3 +113,21 @@ def test_no_rows(rows):
     with pytest.raises(ValueError):
         Boosting(rounds=2).fit(rows.limit(0))
     assert Boosting(rounds=0).fit(rows).predict(rows.limit(3)).count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_splits_are_decided_on_the_executors(spark, parts, monkeypatch):
+    """The driver gets the splits of all rows, and none of the sums."""
+    rng = np.random.default_rng(6)
+    blocks = [(rng.integers(0, boosting.BINS, (2, 500, 4)), rng.normal(size=500), rng.random((2, 500)) < 0.8, np.zeros((2, 500)))
+              for _ in range(3)]
+    blocks = [(b, y + b[0, :, 1] / 100, trains, score) for b, y, trains, score in blocks]
+    split, cut = np.full((2, 7), -1), np.zeros((2, 7), np.int64)
+    rdd = spark.sparkContext.parallelize(blocks, parts)
+    monkeypatch.setattr(type(rdd), "treeReduce", None)
+    for depth in range(3):
+        whole = sum(boosting.level_sums(b, split, cut, depth) for b in blocks)
+        found, want = boosting._level(rdd, (), split, cut, depth), boosting.best_splits(whole)
+        assert all(a.shape == b.shape and np.allclose(a, b) for a, b in zip(found, want))
+        split[:, (1 << depth) - 1 : (2 << depth) - 1], cut[:, (1 << depth) - 1 : (2 << depth) - 1], _ = found
+    assert (split[:, 0] >= 0).all()
