@@ -215,7 +215,8 @@ def candidates(classes: DataFrame, t: Fraction, k: int, large: int = LARGE, list
     shown = spots.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
     hot = shown.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") * part > large)
     hot = stash(hot.select("value", F.lit(True).alias("hot")), "hot")
-    told = spots.join(hot, "value", "left")
+    # marked once and kept: every spot is one row of this join, whether its list is hot or not
+    told = stash(spots.join(hot, "value", "left"), "told")
     cold = told.where("hot is null").select("value", "n", "node")
     # classes that are hot enough to meet in hot lists alone
     marked = told.where("hot").groupBy("node", "n").agg(F.sort_array(F.collect_list("value")).alias("values"))
