@@ -6,8 +6,8 @@ two joined strings gives back these two tokens. All pairs of a batch are tested
 against a sorted table of known pairs; unknown pairs are worked out once and remembered. Only
 words with a failing pair are merged exactly.
 
-Texts are cut into words first (normalised, lower-cased, split), and each distinct word is
-encoded once per task, so the cost per word of running text is a dictionary look-up.
+Texts are cut into words first (normalised, lower-cased, split). A task remembers the words it has met
+lately, so the cost per word of running text is a dictionary look-up for all but rare words.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words remembered by a task before it starts afresh; bounds its memory only.
-MEMORY = 400_000
+#: Distinct words a task remembers before those not met since the last turn go; bounds its memory only.
+MEMORY = 100_000
+#: Pairs of tokens it remembers.
+PAIRS = 200_000
 #: Words learnt together (texts stay whole).
-CHUNK = 100_000
+CHUNK = 50_000
+#: Texts of a batch taken out of Arrow together.
+ROWS = 1_000
 
 #: Symbols of a word beyond which merging keeps its pairs in a heap; short words are faster without.
 LONG = 100
@@ -113,12 +117,15 @@ class Codec:
         self.small = {c: c + step for span, step in CAPITALS.items() for c in _span(span)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.spines: dict[int, tuple[list, list] | None] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.compatible: dict[int, bool] = {}
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
+        self.turn()
+
+    def turn(self) -> None:
+        """Start afresh; words met again before the next turn come back, the others are forgotten by it."""
+        self.past = self.ids, self.shown
+        self.ids, self.shown = {}, {}
 
     # -- words ------------------------------------------------------------------
 
@@ -262,9 +269,16 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words: guess all, test all adjacent pairs together, merge the failures."""
+        past, shown = self.past
         words = [w for w in words if w not in self.ids]
+        for w in words:
+            if w in past:
+                self.ids[w], self.shown[w] = past[w], shown[w]
+        words = [w for w in words if w not in past]
         if not words:
             return
+        if len(self.compatible) > PAIRS:
+            self.compatible = {}
         symbols = [self.symbols(w) for w in words]
         guesses = [[self.special[w]] if w in self.special else self.speculate(s) for w, s in zip(words, symbols)]
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
@@ -301,7 +315,7 @@ class Codec:
                 size += len(cut[-1])
                 at += 1
             if len(self.ids) > MEMORY:
-                self.forget()
+                self.turn()
             self.learn(dict.fromkeys(chain.from_iterable(cut)))
             for words in cut:
                 coded = b"".join(map(self.ids.__getitem__, words))
@@ -341,7 +355,7 @@ def encode_decode(
 
     def code(batches):
         codec = Codec(spec.value)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, left, right = [], [], []
             for ids, n, words in codec.encode(texts):

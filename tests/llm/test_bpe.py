@@ -18,6 +18,8 @@ TRICKY = [
     ":\U000323b0x", "\u1c89\ua7cb\ua7dc\U00010d50\U00016ea0 \u0558a", "a" * 300, "ﷺ İı", "!!!???...", "don’t stop", "_under_score_", "́ͅx", "<|startoftext|>" * 3,
 ]
 
+LETTERS = str.maketrans("0123456789", "qrstuvwxyz")  # digits of base 26 that are no letters
+
 
 @pytest.fixture(scope="module")
 def pair():
@@ -68,6 +70,30 @@ def test_both_ways_of_merging(pair):
             assert codec._merge_long(list(base)) == codec.merge(list(base), {})
 
 
+def test_what_a_task_remembers_is_bounded_and_frequent_words_stay(pair, monkeypatch):
+    codec, library = Codec(open(default_vocabulary(), encoding="utf-8").read()), pair[1]
+    codec_words, seen = codec.speculate, []
+    monkeypatch.setattr(codec, "speculate", lambda symbols: seen.append(symbols) or codec_words(symbols))
+    texts = [" ".join(["often", *(np.base_repr(2_000 * k + j, 26).lower().translate(LETTERS) for j in range(2_000))]) for k in range(200)]
+    for k, (ids, n, words) in enumerate(codec.encode(texts)):
+        if k % 50 == 0:
+            want = library.encode(texts[k], add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert codec.decode_words(words) == library.decode(want, skip_special_tokens=False)
+    assert seen.count("often") == 1 and len(seen) >= 380_000
+    held = [codec.ids, codec.shown, *getattr(codec, "past", ())]
+    assert sum(map(len, held)) < 600_000  # words' ids and pieces, of 800,000
+
+
+def test_texts_leave_a_batch_by_parts(spark, pair):
+    rows = [(i, f"{i} words {'x' * (i % 7)}") for i in range(2_500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in encode_decode(df, with_ids=False).collect()}
+    for i, t in rows:
+        want = pair[1].encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(want), hashlib.sha256(np.asarray(want, "<u4").tobytes()).hexdigest())
+
+
 def test_table(spark, pair):
     texts = [None, "", "The same words", "The same words", "Ünïcode wörds " * 2000, "<|endoftext|>"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
