@@ -40,6 +40,8 @@ END = b" "  # no word has white space in it
 SEED = 42  # of xxhash64 in SQL
 START = np.uint64(2**64 - 2)  # stands before a text's first word
 BLOCKS = 16
+FINE = 60.0  # logits up to this size need no shift in single precision
+FEW = 4
 
 
 class Ranks(dict):
@@ -212,12 +214,36 @@ def histories(rank: np.ndarray, ends: np.ndarray, word: np.ndarray | None = None
 
 
 def _soft(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    """Softmax of each row, in place. Rows are shifted by their greatest logit only if one may be out of range."""
+    if logits.size and (logits.max() > FINE or logits[:, 0].min() < -FINE):
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= np.einsum("ij->i", logits)[:, None]
     return logits
 
 
+def sums_by_slot(slots: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots that occur, in order, the sum of their rows of ``slope``, and how many they are.
+
+    Most slots of a batch have few rows; these are added for all slots together.
+    """
+    order = np.argsort(slots.astype(np.uint16), kind="stable")  # slots have 16 bits at most: sorted by counting
+    own = slots[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    many = np.diff(np.append(first, len(own)))
+    sums = np.take(slope, order[first], axis=0)
+    for k in range(1, FEW):
+        more = np.flatnonzero(many > k)
+        sums[more] += np.take(slope, order[first[more] + k], axis=0)
+    left = np.flatnonzero(many > FEW)
+    if len(left):
+        sizes = many[left] - FEW
+        starts = np.cumsum(sizes) - sizes
+        places = np.arange(int(sizes.sum())) + np.repeat(first[left] + FEW - starts, sizes)
+        sums[left] += np.add.reduceat(np.take(slope, order[places], axis=0), starts, axis=0)
+    return own[first], sums, many
+
+
 class Net:
     """Class and word probabilities of one batch of positions; gradient steps."""
 
@@ -236,14 +262,12 @@ class Net:
     def step(self, which: int, table: np.ndarray, slots: list[np.ndarray], slope: np.ndarray) -> None:
         """One adaptive step: each row by its summed gradient."""
         for s in slots:
-            order = np.argsort(s.astype(np.uint16), kind="stable")  # slots have 16 bits at most: sorted by counting
-            own = s[order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            rows = own[first]
-            gradient = np.add.reduceat(np.take(slope, order, axis=0), first, axis=0)
-            self.squares[which][rows] += np.square(gradient).mean(axis=1, keepdims=True)
-            table[rows] -= RATE * gradient / np.sqrt(self.squares[which][rows])
-            self.touched[which][rows] += np.diff(np.append(first, len(own)))
+            rows, gradient, many = sums_by_slot(s, slope)
+            squares = self.squares[which][rows] + (np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1])[:, None]
+            self.squares[which][rows] = squares
+            gradient *= RATE / np.sqrt(squares)
+            table[rows] -= gradient
+            self.touched[which][rows] += many
 
     def run(self, rank: np.ndarray, keys: np.ndarray, learn: bool, group: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the modelled part of each token's probability.
@@ -287,7 +311,7 @@ def _ranked(ranks: Ranks, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndar
     """Ranks, last places and hashes of the tokens of texts laid end to end."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     size = int(sizes.sum())
-    rank = np.fromiter(map(ranks.__getitem__, chain.from_iterable(texts)), np.int64, size)
+    rank = np.fromiter(map(ranks.get, chain.from_iterable(texts), repeat(-1)), np.int64, size)
     return rank, np.cumsum(sizes) - 1, hashes(chain.from_iterable(texts), size)
 
 

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 from panelwright.llm.common import crc_mod
-from panelwright.llm.lm import END, HEAD, PER_CLASS, Net, Vocabulary, Weights, group_of, hashes, histories, score, tokens
+from panelwright.llm.lm import (
+    END, HEAD, PER_CLASS, SLOTS, Net, Vocabulary, Weights, _soft, group_of, hashes, histories, score, sums_by_slot, tokens,
+)
 from pyspark.sql import functions as F
 
 
@@ -108,6 +110,25 @@ def test_probabilities_of_groups_add_up():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_sums_by_slot():
+    rng = np.random.default_rng(6)
+    for slots in (rng.zipf(1.4, 5000) % SLOTS, np.arange(300), np.full(700, SLOTS - 1), np.array([3])):
+        slope = rng.normal(size=(len(slots), 33)).astype(np.float32)
+        rows, sums, many = sums_by_slot(slots, slope)
+        want = np.zeros((SLOTS, 33))
+        np.add.at(want, slots, slope)
+        assert rows.tolist() == np.unique(slots).tolist() and many.tolist() == np.bincount(slots)[rows].tolist()
+        assert np.allclose(sums, want[rows], atol=1e-3)
+
+
+def test_softmax_of_any_logits():
+    for shift in (0, 59, -59, 1e4, -1e4):
+        logits = (np.random.default_rng(7).normal(size=(50, 33)) * 20 + shift).astype(np.float32)
+        want = np.exp(logits.astype(float) - logits.max(axis=1, keepdims=True))
+        assert np.allclose(_soft(logits.copy()), want / want.sum(axis=1, keepdims=True), rtol=1e-4)
+    assert _soft(np.zeros((0, 33), np.float32)).shape == (0, 33)
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "A a\x0bb"), (3, "the END of it " * 20000), (4, "a  b")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
