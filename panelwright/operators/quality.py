@@ -104,7 +104,7 @@ def missing_cells(state_txn_quarter: DataFrame) -> DataFrame:
     return grid.join(state_txn_quarter, ["state", "period_key"], "left_anti")
 
 
-def run_checks(warehouse: Warehouse, low: float = 0.8, high: float = 1.2, seen: Mapping | None = None) -> DataFrame:
+def run_checks(warehouse: Warehouse, seen: Mapping | None = None, low: float = 0.8, high: float = 1.2) -> DataFrame:
     """Seven rows: name, status, metric, detail.
 
     ``seen`` are the values of ``row_figures`` if they were observed while the fact table was

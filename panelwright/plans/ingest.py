@@ -57,7 +57,7 @@ def ingest(
     seen = write_warehouse(parsed, aside, {FACT: quality.row_figures()})
     leaves.quarantine(bodies).hint("rebalance").write.parquet(f"{aside}/{QUARANTINE}")
     stored = open_warehouse(spark, aside)
-    checks = settle(quality.run_checks(stored, seen=seen[FACT]))
+    checks = settle(quality.run_checks(stored, seen[FACT]))
     if strict and quality.has_failures(checks):
         report = quality.format_report(checks)
         versions.folders.remove(f"{versions.label}={version}")
