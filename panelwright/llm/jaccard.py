@@ -5,8 +5,9 @@ similarity ``t`` share a shingle among the first ``n - ceil(t n) + 1`` of each (
 every wanted pair meets in the block of such a shingle. Three bounds drop pairs there, and never
 a wanted one: the sizes, the places of the shingle, and the bit count of the exclusive-or of two parity
 sketches, which is at most the number of shingles that the sets do not share. What is left
-becomes a forest of candidates, and a block of more than ``LARGE`` rows is taken as one whole; both
-are linear in the rows. Each connected group of candidates is then laid out in tiles by size,
+becomes a forest of candidates, linear in the rows. A block of more than ``LARGE`` rows goes by in order of
+size, and each row meets those that are not too small for it: no block is ever united as a whole, since chains of such
+blocks would make one group of most texts. Each connected group of candidates is then laid out in tiles by size,
 and in every pair of tiles the sets themselves are compared. Links come out as a spanning forest
 over links that were checked, so that a large group gives few rows and loses no connection.
 """
@@ -28,8 +29,10 @@ from panelwright.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Texts that show which shingles are common, and in how many of them. This only orders: no result depends on it.
 SAMPLE, COMMON, MOST = 10_000, 3, 100_000
-LARGE = 256  # rows of a block that are compared in pairs; a larger block is a candidate group as a whole
-VOLUME = 1 << 15  # shingles of one tile, about
+LARGE = 256  # rows of a block that are compared in pairs together with other blocks; a larger block is streamed by itself
+STRIP = 1 << 20  # pairs of a large block that are tested at a time
+#: Shingles of one tile, about. A group of more than SIDE tiles gets larger ones, up to WIDER times, as each tile is copied for its partners.
+VOLUME, SIDE, WIDER = 1 << 15, 16, 8
 SEED = 5
 
 
@@ -180,66 +183,133 @@ def _near(token: np.ndarray, pos: np.ndarray, n: np.ndarray, t: Fraction):
 
 
 def _met(t: Fraction):
-    """Rows that may have a similar one in their block; those of large blocks are marked ``whole``."""
+    """Rows that may have a similar one in their block; of large blocks all rows."""
 
     def work(batches):
         for part, large in _blocks(batches):
             token, pos, n = (part.column(k).to_numpy() for k in range(3))
-            whole = np.full(len(token), large)
-            if not large:
-                first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-                sizes = np.diff(np.append(first, len(token)))
-                whole = np.repeat(sizes > LARGE, sizes)
-            keep = whole.copy()
-            small = np.flatnonzero(~whole)
+            keep = np.ones(len(token), bool) if large else _crowded(token, LARGE)
+            small = np.flatnonzero(~keep)
             for i, j in _near(token[small], pos[small], n[small], t):
                 keep[small[i]] = keep[small[j]] = True
-            part = part.append_column("whole", pa.array(whole))
             yield part.filter(pa.array(keep))
 
     return work
 
 
+def _crowded(token: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are in blocks of more than ``most`` rows."""
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(first, len(token)))
+    return np.repeat(sizes > most, sizes)
+
+
 def _folded(raw: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(raw.reshape(-1, width), axis=0)
 
 
+class _Sketches:
+    """Sketches of a batch, folded once to every width that occurs."""
+
+    def __init__(self, column: pa.Array):
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+        self.width = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            wide = np.flatnonzero(self.width >= w)
+            at = np.zeros(len(raw), np.int64)
+            at[wide] = np.arange(len(wide))
+            self.folded[w] = at, np.stack([_folded(raw[k], w) for k in wide]).view(np.uint64)
+
+    def fit(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, t: Fraction):
+        """Those of the pairs i, j that may be similar, some at a time."""
+        least = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least).tolist():
+            at, bits = self.folded[w]
+            x, y = i[least == w], j[least == w]
+            step = max(1, (1 << 23) // w)
+            for k in range(0, len(x), step):
+                a, b = x[k : k + step], y[k : k + step]
+                apart = np.bitwise_count(bits[at[a]] ^ bits[at[b]]).sum(axis=1, dtype=np.int64)
+                near = apart <= n[a] + n[b] - 2 * needed(n[a], n[b], t)
+                yield a[near], b[near]
+
+
+def _streamed(held: pa.RecordBatch, old: int, t: Fraction, find, unite) -> None:
+    """Rows of a large block, sorted by size: those after the first ``old`` meet all before them.
+
+    Pairs that are joined already are not compared again.
+    """
+    pos, n, node = (held.column(k).to_numpy() for k in (1, 2, 3))
+    sketches = _Sketches(held.column(4))
+    root = np.fromiter(map(find, node.tolist()), np.int64, len(node))
+    at = old
+    while at < len(n):
+        # sets before these are too small for all of the strip
+        low = int(np.searchsorted(n, -(-t.numerator * n[at] // t.denominator)))
+        j = np.arange(at, min(at + max(1, min(64, STRIP // (at + 1 - low))), len(n)))
+        at = int(j[-1]) + 1
+        i = np.arange(low, at)
+        a, b = n[i][None, :], n[j][:, None]
+        may = (i[None, :] < j[:, None]) & (t.denominator * a >= t.numerator * b) & (root[i][None, :] != root[j][:, None])
+        may &= np.minimum((n - pos)[i][None, :], (n - pos)[j][:, None]) >= needed(a, b, t)
+        y, x = np.nonzero(may)
+        for x, y in sketches.fit(i[x], j[y], n, t):
+            if not len(x):
+                continue
+            # of the rows of one group, one is enough for each new row
+            _, one = np.unique(np.stack([root[x], y]), axis=1, return_index=True)
+            for v, u in zip(x[one].tolist(), y[one].tolist()):
+                if root[v] != root[u]:
+                    r = unite(int(node[v]), int(node[u]))
+                    root[(root == root[v]) | (root == root[u])] = r
+
+
 def _forest(t: Fraction):
     """Links of candidates that the sketches allow too: a spanning forest of each task's."""
 
     def work(batches):
         up: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+        held, last = None, None  # what rows to come of the large block may still meet, and its shingle
 
         def find(v: int) -> int:
             while (w := up.setdefault(v, v)) != v:
                 up[v] = v = up[w]
             return v
 
-        for part, _ in _blocks(batches):  # no block is large here
-            token, pos, n, node = (part.column(k).to_numpy() for k in range(4))
-            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(4)]
-            width = np.fromiter(map(len, raw), np.int64, len(raw))
-            folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for w in np.unique(width).tolist():
-                wide = np.flatnonzero(width >= w)
-                at = np.zeros(len(raw), np.int64)
-                at[wide] = np.arange(len(wide))
-                folded[w] = at, np.stack([_folded(raw[k], w) for k in wide]).view(np.uint64)
-            found: list[tuple[int, int]] = []
-            for i, j in _near(token, pos, n, t):
-                least = np.minimum(width[i], width[j])
-                for w in np.unique(least).tolist():
-                    at, bits = folded[w]
-                    x, y = i[least == w], j[least == w]
-                    for k in range(0, len(x), max(1, (1 << 23) // w)):
-                        a, b = x[k : k + (1 << 23) // w], y[k : k + (1 << 23) // w]
-                        apart = np.bitwise_count(bits[at[a]] ^ bits[at[b]]).sum(axis=1, dtype=np.int64)
-                        fit = apart <= n[a] + n[b] - 2 * needed(n[a], n[b], t)
-                        for v, u in set(zip(node[a[fit]].tolist(), node[b[fit]].tolist())):
-                            if (r := find(v)) != (s := find(u)):
-                                up[r] = s
-                                found.append((v, u))
+        def unite(v: int, u: int) -> int:
+            if (r := find(v)) != (s := find(u)):
+                up[r] = s
+                found.append((v, u))
+            return s
+
+        for part, large in _blocks(batches):
+            if large:
+                same = held is not None and last == part.column(0)[0].as_py()
+                old = held.num_rows if same else 0
+                held = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0] if same else part
+                last = part.column(0)[0].as_py()
+                _streamed(held, old, t, find, unite)
+                n = held.column(2).to_numpy()
+                held = held.slice(int(np.searchsorted(n, -(-t.numerator * n[-1] // t.denominator))))
+            else:
+                crowded = _crowded(part.column(0).to_numpy(), LARGE)
+                small = part.filter(pa.array(~crowded))
+                if small.num_rows:
+                    token, pos, n, node = (small.column(k).to_numpy() for k in range(4))
+                    sketches = _Sketches(small.column(4))
+                    for i, j in _near(token, pos, n, t):
+                        for a, b in sketches.fit(i, j, n, t):
+                            for v, u in set(zip(node[a].tolist(), node[b].tolist())):
+                                unite(v, u)
+                rest = part.filter(pa.array(crowded))
+                token = rest.column(0).to_numpy()
+                first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else []
+                for a, b in zip(first, np.append(first[1:], len(token)) if len(token) else []):
+                    _streamed(rest.slice(int(a), int(b - a)), 0, t, find, unite)
             a, b = np.asarray(found, np.int64).reshape(-1, 2).T
+            found.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], names=["a", "b"])
 
     return work
@@ -248,22 +318,18 @@ def _forest(t: Fraction):
 def candidates(rows: DataFrame, t: Fraction, close: DataFrame | None = None) -> DataFrame:
     """``node, root`` of texts that may have a similar one: similar texts always have the same root.
 
-    So have texts of one group of ``close(doc_id, group)``, however unlike.
+    Texts of one group of ``close(doc_id, group)`` meet like those that share a first shingle.
     """
     spots = rows.select("node", "n", F.posexplode("first").alias("pos", "token")).select(
         "token", F.col("pos").cast("bigint").alias("pos"), "n", "node")
     met = stash(spots.repartition("token").sortWithinPartitions("token").mapInArrow(
-        _met(t), "token bigint, pos bigint, n bigint, node bigint, whole boolean"), "met")
-    sketches = rows.select("node", "sketch").distinct()
-    pairs = met.where("not whole").drop("whole").join(sketches, "node").select("token", "pos", "n", "node", "sketch")
-    pairs = pairs.repartition("token").sortWithinPartitions("token").mapInArrow(_forest(t), "a bigint, b bigint")
-    # of a large block every row is linked to the block's own node
-    whole = met.where("whole").select(F.col("node").alias("a"), F.xxhash64(F.lit("block"), "token").alias("b"))
-    links = pairs.unionByName(whole)
+        _met(t), "token bigint, pos bigint, n bigint, node bigint"), "met")
     if close is not None:
-        links = links.unionByName(rows.select("doc_id", "node").join(close, "doc_id").select(
-            F.col("node").alias("a"), F.xxhash64(F.lit("close"), "group").alias("b")))
-    return components(links)
+        met = met.unionByName(rows.select("doc_id", "node", "n").join(close.distinct(), "doc_id").select(
+            F.xxhash64(F.lit("close"), "group").alias("token"), F.lit(0).cast("bigint").alias("pos"), "n", "node"))
+    sketches = rows.select("node", "sketch").distinct()
+    pairs = met.join(sketches, "node").select("token", "pos", "n", "node", "sketch")
+    return components(pairs.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_forest(t), "a bigint, b bigint"))
 
 
 def tile_links(sets: list[np.ndarray], split: int, t: Fraction) -> list[tuple[int, int]]:
@@ -318,7 +384,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``a, b``: links that connect all ids whose shingle sets are similar enough, and no others.
 
     Rows without an id take no part. Texts of equal sets are linked to the one of the least id.
-    ``close(doc_id, group)``: ids that another method holds for near; they are compared in any case.
+    ``close(doc_id, group)``: ids that another method holds for near; those of a group meet in any case.
     """
     t = Fraction(str(similarity))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -333,7 +399,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     band = F.floor(F.log(F.col("n")) / F.lit(1.1 * -log(float(t)))).alias("p")
     several = classes.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
     classes = classes.join(several, "root").select("root", band, "n", "one", "two", "least")
-    spread = classes.groupBy("root", "p").agg(F.ceil(F.sum("n") / volume).alias("parts"))
+    tile = F.greatest(F.lit(volume), F.least(F.ceil(F.sum("n") / SIDE), F.lit(WIDER * volume)))
+    spread = classes.groupBy("root", "p").agg(F.ceil(F.sum("n") / tile).alias("parts"))
     placed = stash(classes.join(spread, ["root", "p"]).select(
         "root", F.struct("p", F.pmod(F.xxhash64("one"), F.col("parts")).alias("part")).alias("name"), "one", "two", "least"), "placed")
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import jaccard
 from panelwright.llm.components import components
@@ -78,6 +82,67 @@ def test_twins_in_a_crowd(spark, monkeypatch, large):
     assert {r.doc_id for r in keep_one(df).collect()} == set(want.values())
 
 
+def test_large_blocks_are_not_united(spark, monkeypatch):
+    """Unlike texts of one length that share a passage stay apart as candidates; pairs among them are found."""
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    rng = random.Random(4)
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for k in range(40):
+        own = passage + [f"o{k}x{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((len(rows), " ".join(own)))
+        if k % 8 == 0:
+            rows.append((len(rows), " ".join(own + ["more"])))
+    t = Fraction("0.8")
+    sets = jaccard.summaries(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, t).persist()
+    # all are close by another method, too
+    close = sets.select("doc_id", F.lit(1).alias("group"))
+    groups: dict[int, set[int]] = {}
+    for r in sets.select("doc_id", "node").join(jaccard.candidates(sets, t, close), "node").collect():
+        groups.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[i, i + 1] for i in range(0, 45, 9)]
+    assert_exact(spark, rows)
+
+
+@pytest.mark.parametrize("size", [7, 400, 5000])
+def test_streamed_blocks_come_in_pieces(size):
+    """A large block dealt over batches links what all pairs of it link; small blocks are around it."""
+    rng, t = np.random.default_rng(5), Fraction("0.8")
+    sets, rows = [], []
+    for k in range(1200):
+        if k < 100 or rng.random() < 0.6:
+            own = rng.integers(0, 1 << 60, rng.integers(5, 3000) if k % 9 == 0 else rng.integers(20, 90)).astype(np.uint64)
+        else:  # a copy with some other shingles, that may be too many
+            own = sets[rng.integers(0, k)].copy()
+            own[rng.random(len(own)) < rng.choice([0.02, 0.11, 0.2])] = k
+        sets.append(np.unique(own))
+        rows.append((7 if k < 1000 else 8 + k // 4, 0, len(sets[-1]), k, jaccard.sketch(sets[-1]).tobytes()))
+    rows.sort(key=lambda r: (r[0], r[2]))
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])]
+    whole = pa.RecordBatch.from_arrays(columns, names=["token", "pos", "n", "node", "sketch"])
+    found = [(a, b) for out in jaccard._forest(t)(whole.slice(k, size) for k in range(0, len(rows), size))
+             for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    up = list(range(1200))
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in found:
+        assert find(a) != find(b)  # a forest
+        up[find(a)] = find(b)
+    block, similar = {r[3]: r[0] for r in rows}, 0
+    for i in range(1200):
+        for j in range(i):
+            small, big = sorted((len(sets[i]), len(sets[j])))
+            if block[i] == block[j] and small * 5 >= 4 * big:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both * 5 >= 4 * (small + big - both):
+                    similar += 1
+                    assert find(i) == find(j)
+    assert similar > 100 and len({find(v) for v in range(1200)}) > 600  # unlike ones are not united
+
+
 def test_twins_of_one_fingerprint(spark):
     rng = random.Random(2)
     rows = []
