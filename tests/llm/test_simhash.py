@@ -147,3 +147,27 @@ def test_near_copies_are_found_by_simhash(spark, monkeypatch):
     assert sorted(map(sorted, groups_found.values())) == [[1, 2], [4, 5]]
     monkeypatch.setattr(jaccard, "_met", lambda t: lambda batches: iter(()))
     assert sorted(r.doc_id for r in keep_one(df).collect()) == [1, 3, 4, 5]
+
+
+def test_close_texts_are_all_that_brute_force_connects(spark):
+    """Every text with a partner within the radius has its group; null, empty and repeated texts too."""
+    rng = random.Random(13)
+    texts = [None, "", " \t", "one two", "One  two", "x y z"]
+    for k in range(40):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([5, 60, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(k % 3):
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    texts += texts[6:12]
+    marks = {i: by_definition(t) for i, t in enumerate(texts)}
+    root = groups(sorted(set(marks.values())), 4)
+    want: dict[int, set[int]] = {}
+    for i, m in marks.items():
+        want.setdefault(root[m], set()).add(i)
+    got: dict[int, set[int]] = {}
+    for r in close_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.doc_id not in got.setdefault(r.group, set())
+        got[r.group].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert len(got) > 10
